@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellforge.llm import simhash
+from cellforge.llm import simhash, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_simhash": simhash.op7_simhash}
+    return {
+        "op7_simhash": simhash.op7_simhash,
+        "op8_token_files": token_files.op8_token_files,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
