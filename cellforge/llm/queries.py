@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellforge.llm import simhash, suffix_array, token_files
+from cellforge.llm import embedding, simhash, suffix_array, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op7_simhash": simhash.op7_simhash,
         "op10_suffix_array": suffix_array.op10_suffix_array,
+        "op3_embedding": embedding.op3_embedding,
         "op8_token_files": token_files.op8_token_files,
     }
 
