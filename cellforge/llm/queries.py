@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellforge.llm import embedding, simhash, suffix_array, token_files
+from cellforge.llm import embedding, language, simhash, suffix_array, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op7_simhash": simhash.op7_simhash,
         "op10_suffix_array": suffix_array.op10_suffix_array,
+        "op1_toxicity": toxicity.op1_toxicity,
         "op3_embedding": embedding.op3_embedding,
         "op8_token_files": token_files.op8_token_files,
+        "op9_language": language.op9_language,
     }
 
 
