@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellforge.llm import embedding, language, simhash, suffix_array, token_files, toxicity
+from cellforge.llm import embedding, language, pii, simhash, suffix_array, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_simhash": simhash.op7_simhash,
         "op10_suffix_array": suffix_array.op10_suffix_array,
         "op1_toxicity": toxicity.op1_toxicity,
+        "op2_pii": pii.op2_pii,
         "op3_embedding": embedding.op3_embedding,
         "op8_token_files": token_files.op8_token_files,
         "op9_language": language.op9_language,
