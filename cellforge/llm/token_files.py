@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -123,45 +124,76 @@ _WHITE = [chr(c) for c in (*range(9, 14), *range(28, 32), 0x85, 0xA0, 0x1680, *r
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
 
 
+#: A word of Latin letters with what ASCII marks follow it, apostrophes aside: these are two parts for the pattern.
+_WORD = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if printable, else the next from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class UnitEncoder:
     """Byte-level BPE of whole texts through a bounded cache of what lies between safe boundaries.
 
     A boundary before a blank that stands between two characters that aren't white space is one for the vocabulary's own
-    splitting pattern too, so the ids of a text are those of its parts; each new part is encoded by the library.
+    splitting pattern too, so the ids of a text are those of its parts; each new part is encoded by the library, words and
+    the marks after them apart. The cache has two generations: full, the newer becomes the older.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.limit, self.cache = limit, {}
+        self.limit, self.new, self.old, self.letters = limit, {}, {}, _byte_letters()
 
     def parts(self, text: str) -> list[str]:
         if "  " in text or any(c in text and (c + " " in text or " " + c in text) for c in _WHITE):
             return _SAFE.split(text)
         return text.replace(" ", "\0 ").split("\0") if "\0" not in text else _SAFE.split(text)
 
+    def _known(self, part: str) -> bytes | None:
+        got = self.new.get(part)
+        if got is None and (got := self.old.get(part)) is not None:
+            self.new[part] = got
+        return got
+
+    def _one(self, part: str) -> bytes:
+        """Ids of one part of the pattern, by the vocabulary's model."""
+        got = self._known(part)
+        if got is None:
+            if part.isascii():
+                mapped = part.replace(" ", self.letters[32])
+            else:
+                mapped = part.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+            got = self.new[part] = array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
+        return got
+
+    def _learn(self, part: str) -> bytes:
+        got = self._known(part)
+        if got is None:
+            if m := _WORD.fullmatch(part):
+                word, marks = m.groups()
+                got = self._one(word) + self._one(marks) if marks else self._one(word)
+            else:
+                got = np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+            self.new[part] = got
+        return got
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian uint32."""
         out = []
         for text in texts:
             parts = self.parts(text) if text else []
-            try:
-                out.append(b"".join(map(self.cache.__getitem__, parts)))
-                continue
-            except KeyError:
-                pass
-            new = [p for p in set(parts) if p not in self.cache]
-            got = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            known = dict(zip(new, got, strict=True))
-            if len(self.cache) + len(new) > self.limit:
-                known |= {p: self.cache[p] for p in set(parts) - set(new)}
-                self.cache = known if len(known) < self.limit else {}
-            else:
-                self.cache |= known
-                known = self.cache
-            out.append(b"".join(map(known.__getitem__, parts)))
+            got = list(map(self.new.get, parts))
+            if None in got:
+                got = [self._learn(p) if x is None else x for p, x in zip(parts, got, strict=True)]
+                if len(self.new) > self.limit:
+                    self.old, self.new = self.new, {}
+            out.append(b"".join(got))
         return out
 
 
