@@ -322,20 +322,20 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     run, ddl = _anchors(length)
     anchors = common.cut(docs.select("doc_id", "key", "text").mapInArrow(run, ddl), "anchors")
     twice = common.cut(anchors.groupBy("h").count().where("count > 1").select("h"), "twice")
-    rows = common.cut(anchors.join(_side(twice), "h"), "rows")
+    rows = common.cut(anchors.join(twice, "h"), "rows")
     common.drop(anchors)
     rep = F.min(F.struct("doc_id", "key", "first", "owned", "lead")).alias("r")
     classes = common.cut(rows.groupBy("h", "c").agg(F.count("*").alias("copies"), rep), "classes")
     some = classes.groupBy("h").agg(F.count("*").alias("contexts"), F.sum((F.col("copies") == 1).cast("long")).alias("single"))
     some = common.cut(some.where("contexts > 1 and single > 0").select("h", "contexts"), "some")
-    whole = rows.join(_side(common.cut(classes.where("copies > 1").select("h", "c"), "whole")), ["h", "c"])
+    whole = rows.join(classes.where("copies > 1").select("h", "c"), ["h", "c"])
     whole = whole.select("doc_id", "key", "first", (F.col("first") + F.col("owned") - 1).alias("last"))
-    marks = classes.join(_side(some), "h").select("r.doc_id", "r.key", F.struct("h", "r.first", "r.owned", "r.lead", "copies", "contexts").alias("m"))
+    marks = classes.join(some, "h").select("r.doc_id", "r.key", F.struct("h", "r.first", "r.owned", "r.lead", "copies", "contexts").alias("m"))
     marks = common.cut(marks.groupBy("doc_id", "key").agg(F.collect_list("m").alias("marks")), "marks")
     run, ddl = _contexts(length)
     found = _by_doc(docs, marks, "inner").select("doc_id", "key", "text", "marks").mapInArrow(run, ddl)
     # rows that repeat a doc_id and text give a context once each
-    found = common.cut(found.dropDuplicates(["h", "doc_id", "key", "first"]).join(_side(some), "h"), "contexts")
+    found = common.cut(found.dropDuplicates(["h", "doc_id", "key", "first"]).join(some, "h"), "contexts")
     cols = ["doc_id", "key", "first", "x", "lead", "owned", "copies"]
     run, ddl = _sort_groups(length)
     sets = [whole, found.where(F.col("contexts") <= GROUP_CONTEXTS).select("h", *cols).repartition("h").sortWithinPartitions("h").mapInArrow(run, ddl)]
@@ -344,7 +344,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         run, ddl = _count_strings(length)
         strings = common.cut(hot.mapInArrow(run, ddl), "strings")
         again = common.cut(strings.groupBy("d").agg(F.sum("copies").alias("n")).where("n > 1").select("d"), "again")
-        sets.append(strings.where("copies = 1").join(_side(again), "d").select("doc_id", "key", "first", F.col("first").alias("last")))
+        sets.append(strings.where("copies = 1").join(again, "d").select("doc_id", "key", "first", F.col("first").alias("last")))
     spans = sets[0]
     for more in sets[1:]:
         spans = spans.unionAll(more)
