@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellforge.llm import decontaminate, embedding, language, pii, simhash, suffix_array, token_files, toxicity
+from cellforge.llm import decontaminate, embedding, language, license_scan, pieces, pii, simhash, suffix_array, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": toxicity.op1_toxicity,
         "op2_pii": pii.op2_pii,
         "op3_embedding": embedding.op3_embedding,
+        "op4_license": license_scan.op4_license,
+        "op5_pieces": pieces.op5_pieces,
         "op6_decontaminate": decontaminate.op6_decontaminate,
         "op8_token_files": token_files.op8_token_files,
         "op9_language": language.op9_language,
