@@ -150,13 +150,7 @@ def find(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, threshold: flo
     """
     ddl, parts = "doc_id long, item_id long, containment double", []
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    items = iter(benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null").orderBy("item_id", "text").toLocalIterator())
-    while True:
-        some = [tuple(r) for r, _ in zip(items, range(block), strict=False)]
-        if not some:
-            break
-        names = [name for name, _ in some]
-        index = docs.sparkSession.sparkContext.broadcast((names, Index([(i, text) for i, (_, text) in enumerate(some)], k, threshold, hashes)))
+    for index in _indexes(benchmark, k, threshold, hashes, block):
 
         def run(batches, index=index):
             names, own = index.value
@@ -179,6 +173,26 @@ def find(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, threshold: flo
     return out
 
 
+def _indexes(benchmark: DataFrame, k: int, threshold: float, hashes: int, block: int):
+    """Broadcast (item ids, index) of the benchmark, `block` items at a time."""
+    items = iter(benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null").orderBy("item_id", "text").toLocalIterator())
+    while some := [tuple(r) for _, r in zip(range(block), items, strict=False)]:
+        yield benchmark.sparkSession.sparkContext.broadcast(([name for name, _ in some], Index([(i, text) for i, (_, text) in enumerate(some)], k, threshold, hashes)))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, hashes: int = HASHES, block: int = ITEMS_PER_BLOCK, text_col: str = "text") -> DataFrame:
+    """docs without the rows that find() would list, whatever their ids."""
+    for index in _indexes(benchmark, k, threshold, hashes, block):
+
+        def run(batches, index=index):
+            for b in batches:
+                texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
+                yield b.filter(pa.array([not found for x, y in _slices(texts) for found in index.value[1].matches(texts[x:y])], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "item_id", F.round("containment", 6).alias("containment"))
