@@ -12,8 +12,19 @@ from pyspark.sql import functions as F
 
 from cellforge.llm import common
 
-#: Code words of each half of a direction (CODE squared filters a code), codes, and filters a vector exceeds in each on average.
-CODE, CODES, FILTERS = 1024, 8, 10
+#: Codes, and filters a vector exceeds in each on average.
+CODES, FILTERS = 8, 10
+
+
+#: Shorter vectors are padded with zeros, so that the halves of a rotated one tell enough words apart.
+LEAST_DIM = 32
+
+
+def code_words(n: int, filters: int = FILTERS) -> int:
+    """Code words of each half of a direction: as many as leave unlike vectors an eighth of a filter each, for n vectors."""
+    return 1 << min(14, max(10, math.ceil(math.log2(max(1.0, 8.0 * n * filters)) / 2)))
+
+
 #: Members of a filter that one task compares; larger filters are met by pairs of salted tiles.
 TILE = 512
 #: Rows of a join's small side up to which it is broadcast; beyond, both sides are shuffled.
@@ -69,6 +80,7 @@ def _filters(code: int, seeds: list[int], limits: list[float], dim: int):
     def run(batches):
         for b in batches:
             x = _unit(np.array(b.column(1).flatten()).reshape(len(b), dim))
+            x = np.pad(x, ((0, 0), (0, max(dim, LEAST_DIM) - dim)))
             each = [decode_filters(x, code, s, t) for s, t in zip(seeds, limits, strict=True)]
             got = [np.concatenate([f + r * code * code for r, f in enumerate(own)]) for own in zip(*each, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.int64()))], names=["rep", "filters"])
@@ -76,45 +88,92 @@ def _filters(code: int, seeds: list[int], limits: list[float], dim: int):
     return run, "rep long, filters array<long>"
 
 
+def _group(here: int, p: int, q: int, rep, v, copies, filters: list, salt, cosine: float):
+    """(members, links counted here, root of each) of one filter's members, or of two of its tiles."""
+    rows, cols = (np.arange(len(rep)),) * 2 if p == q else (np.flatnonzero(salt == p), np.flatnonzero(salt == q))
+    near = v[rows] @ v[cols].T >= cosine - 1e-12
+    if p == q:
+        near &= rows[:, None] < cols[None, :]
+    i, j = np.nonzero(near)
+    i, j = rows[i], cols[j]
+    keep = np.concatenate([np.einsum("ij,ij->i", v[i[x : x + 65536]], v[j[x : x + 65536]]) >= cosine for x in range(0, len(i), 65536)] or [np.zeros(0, bool)])
+    i, j = i[keep], j[keep]
+    if not len(i):
+        return None
+    # A pair counts in its first common filter only.
+    used = np.unique(np.concatenate([i, j]))
+    at = np.full(len(rep), -1)
+    at[used] = np.arange(len(used))
+    low = [[f for f in filters[u] if f < here] for u in used.tolist()]
+    names, inverse = np.unique(np.concatenate([np.array(x, np.int64) for x in low]), return_inverse=True)
+    member = np.zeros((len(used), len(names)), np.float32)
+    member[np.repeat(np.arange(len(used)), [len(x) for x in low]), inverse] = 1
+    earlier = member @ member.T > 0
+    x, y = at[i], at[j]
+    new = ~earlier[x, y]
+    x, y = x[new], y[new]
+    if not len(x):
+        return None
+    own = copies[used]
+    n = np.bincount(x, own[y], len(used)) + np.bincount(y, own[x], len(used))
+    root = common.local_labels(len(used), x, y)
+    k = np.flatnonzero(n)
+    return rep[used][k], n[k].astype(np.int64), rep[used][root][k]
+
+
+#: Members up to which filters are compared side by side rather than one by one.
+_SMALL = 16
+
+
 def _compare(cosine: float):
-    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("root", pa.int64())])
-
-    def run(key, t):
-        here, p, q = (k.as_py() for k in key)
-        rep, copies, salt = (t.column(c).to_numpy() for c in ("rep", "copies", "salt"))
-        v = _unit(t.column("v").combine_chunks().flatten().to_numpy().reshape(len(rep), -1))
-        filters = t.column("filters").to_pylist()
-        rows, cols = (np.arange(len(rep)),) * 2 if p == q else (np.flatnonzero(salt == p), np.flatnonzero(salt == q))
-        near = v[rows] @ v[cols].T >= cosine
-        if p == q:
-            near &= rows[:, None] < cols[None, :]
-        i, j = np.nonzero(near)
-        if not len(i):
-            return schema.empty_table()
-        # A pair counts in its first common filter only.
-        used = np.unique(np.concatenate([rows[i], cols[j]]))
-        at = np.full(len(rep), -1)
-        at[used] = np.arange(len(used))
-        low = [[f for f in filters[u] if f < here] for u in used.tolist()]
-        names, inverse = np.unique(np.concatenate([np.array(x, np.int64) for x in low]), return_inverse=True)
-        member = np.zeros((len(used), len(names)), np.float32)
-        member[np.repeat(np.arange(len(used)), [len(x) for x in low]), inverse] = 1
-        earlier = member @ member.T > 0
-        x, y = at[rows[i]], at[cols[j]]
-        new = ~earlier[x, y]
-        x, y = x[new], y[new]
-        if not len(x):
-            return schema.empty_table()
-        own = copies[used]
-        n = np.bincount(x, own[y], len(used)) + np.bincount(y, own[x], len(used))
-        root = common.local_labels(len(used), x, y)
-        k = np.flatnonzero(n)
-        return pa.table([pa.array(rep[used][k]), pa.array(n[k].astype(np.int64)), pa.array(rep[used][root][k])], schema=schema)
-
-    return run
-
-
-def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = 0.9, code: int = CODE, codes: int = CODES, filters: int = FILTERS, tile: int = TILE, seed: int = 3) -> DataFrame:
+    names = ["node", "n", "root"]
+
+    def batch(parts):
+        cols = [np.concatenate([p[k] for p in parts] or [np.empty(0, np.int64)]) for k in range(3)]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
+
+    def compare(t: pa.Table):
+        """All whole groups of a table sorted by f, p, q."""
+        f, p, q, rep, copies, salt = (t.column(c).to_numpy() for c in ("f", "p", "q", "rep", "copies", "salt"))
+        v = _unit(t.column("v").combine_chunks().flatten().to_numpy().reshape(len(f), -1))
+        filters = t.column("filters").combine_chunks()
+        first = np.flatnonzero(np.append(True, (f[1:] != f[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])))
+        size = np.diff(np.append(first, len(f)))
+        group = np.repeat(np.arange(len(first)), size)
+        single = (size <= _SMALL) & (p[first] == q[first])
+        out, small = [], single[group]
+        for s in range(1, int(size[single].max(initial=1))):
+            i = np.flatnonzero(small[:-s] & (group[:-s] == group[s:]))
+            i = i[np.einsum("ij,ij->i", v[i], v[i + s]) >= cosine]
+            for a in i.tolist():
+                if min(set(filters[a].as_py()) & set(filters[a + s].as_py())) == f[a]:
+                    x, y = (a, a + s) if rep[a] < rep[a + s] else (a + s, a)
+                    out.append((rep[[x, y]], copies[[y, x]], rep[[x, x]]))
+        for g in np.flatnonzero(~single).tolist():
+            x, y = first[g], first[g] + size[g]
+            got = _group(int(f[x]), int(p[x]), int(q[x]), rep[x:y], v[x:y], copies[x:y], filters[x:y].to_pylist(), salt[x:y], cosine)
+            if got:
+                out.append(got)
+        return batch(out)
+
+    def run(batches):
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            if not len(t):
+                continue
+            # the last group may go on in the next batch
+            f, p, q = (t.column(c).to_numpy() for c in ("f", "p", "q"))
+            last = int(np.flatnonzero((f != f[-1]) | (p != p[-1]) | (q != q[-1])).max(initial=-1)) + 1
+            held = t.slice(last).combine_chunks()
+            if last:
+                yield compare(t.slice(0, last))
+        yield compare(held) if held is not None and len(held) else batch([])
+
+    return run, "node long, n long, root long"
+
+
+def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = 0.9, code: int | None = None, codes: int = CODES, filters: int = FILTERS, tile: int = TILE, seed: int = 3) -> DataFrame:
     """(vec_id, n_links, component_id) for every row: links are pairs whose cosine in double precision is at least `cosine`.
 
     Null, empty and zero vectors and those with null or non-finite components link with nothing; vectors of different
@@ -129,9 +188,11 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     classes = common.cut(classes.where("rep is not null"), "classes")
     parts = []
     for dim in sorted(r[0] for r in classes.select(F.size("v")).distinct().collect()):
+        some = classes.where(F.size("v") == dim)
+        words = code or code_words(some.count(), filters)
         seeds = [seed + 2 * r for r in range(codes)]
-        run, ddl = _filters(code, seeds, [threshold(dim, code, filters, s) for s in seeds], dim)
-        coded = common.cut(classes.where(F.size("v") == dim).select("rep", "v").mapInArrow(run, ddl), "coded")
+        run, ddl = _filters(words, seeds, [threshold(max(dim, LEAST_DIM), words, filters, s) for s in seeds], dim)
+        coded = common.cut(some.select("rep", "v").mapInArrow(run, ddl), "coded")
         member = coded.select("rep", F.explode("filters").alias("f"))
         shared = common.cut(member.groupBy("f").agg(F.count("*").alias("members")).where("members > 1"), "shared")
         live = member.join(F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared, "f")
@@ -140,7 +201,8 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
         salts = F.ceil(F.col("m.members") / tile).cast("int")
         each = each.withColumn("salt", F.pmod(F.xxhash64("rep"), salts).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), salts - 1)))
         each = each.select(F.col("m.f").alias("f"), F.least("salt", "y").alias("p"), F.greatest("salt", "y").alias("q"), "rep", "v", "copies", "filters", "salt")
-        parts.append(each.groupBy("f", "p", "q").applyInArrow(_compare(cosine), "node long, n long, root long"))
+        run, ddl = _compare(cosine)
+        parts.append(each.repartition("f", "p", "q").sortWithinPartitions("f", "p", "q").mapInArrow(run, ddl))
     if parts:
         found = parts[0]
         for more in parts[1:]:
