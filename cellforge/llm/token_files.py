@@ -50,7 +50,7 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n, w = SELECTORS[s]
         p = 1 << (n.bit_length() - 1)
         most = np.maximum(span[p][:, :BLOCK], span[p][:, n - p : n - p + BLOCK])
-        sel[most <= w] = s
+        np.copyto(sel, s, where=most <= w)
     # All blocks take their next word in step, so a loop runs over the words of the longest block only.
     sel, take, slots = sel.reshape(-1), COUNT[sel].reshape(-1), np.zeros(blocks, np.int64)
     at, live, rows, starts, places = np.arange(blocks) * BLOCK, np.arange(blocks), [], [], []
@@ -188,11 +188,12 @@ class UnitEncoder:
         out = []
         for text in texts:
             parts = self.parts(text) if text else []
-            got = list(map(self.new.get, parts))
-            if None in got:
-                got = [self._learn(p) if x is None else x for p, x in zip(parts, got, strict=True)]
-                if len(self.new) > self.limit:
-                    self.old, self.new = self.new, {}
+            got, at = list(map(self.new.get, parts)), -1
+            for _ in range(got.count(None)):
+                at = got.index(None, at + 1)
+                got[at] = self._learn(parts[at])
+            if len(self.new) > self.limit:
+                self.old, self.new = self.new, {}
             out.append(b"".join(got))
         return out
 
