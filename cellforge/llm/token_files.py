@@ -128,6 +128,9 @@ _SAFE = re.compile(r"(?<=\S)(?= \S)")
 _WORD = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
 
 
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 def _byte_letters() -> dict[int, str]:
     """The letter that byte-level vocabularies write for each byte: itself if printable, else the next from U+0100 on."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -148,39 +151,49 @@ class UnitEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.limit, self.new, self.old, self.letters = limit, {}, {}, _byte_letters()
 
     def parts(self, text: str) -> list[str]:
         if "  " in text or any(c in text and (c + " " in text or " " + c in text) for c in _WHITE):
             return _SAFE.split(text)
-        return text.replace(" ", "\0 ").split("\0") if "\0" not in text else _SAFE.split(text)
-
-    def _known(self, part: str) -> bytes | None:
-        got = self.new.get(part)
-        if got is None and (got := self.old.get(part)) is not None:
-            self.new[part] = got
-        return got
+        if "\0" in text:
+            return _SAFE.split(text)
+        cut = text.replace(" ", "\0 ")
+        # a line feed between two characters that aren't white space is a part of its own
+        if "\n" in text and "\n\n" not in text and not any(c in text for c in _WHITE if c != "\n"):
+            cut = cut.replace("\n", "\0\n\0")
+        return cut.split("\0")
 
     def _one(self, part: str) -> bytes:
-        """Ids of one part of the pattern, by the vocabulary's model."""
-        got = self._known(part)
+        """Ids of one part of the pattern."""
+        got = self.new.get(part)
         if got is None:
-            if part.isascii():
-                mapped = part.replace(" ", self.letters[32])
-            else:
-                mapped = part.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
-            got = self.new[part] = array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
+            got = self.old.get(part)
+            self.new[part] = got = self._bpe(part) if got is None else got
         return got
 
+    def _bpe(self, part: str) -> bytes:
+        if part.isascii():
+            mapped = part.replace(" ", self.letters[32])
+        else:
+            mapped = part.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+
     def _learn(self, part: str) -> bytes:
-        got = self._known(part)
+        got = self.old.get(part)
         if got is None:
-            if m := _WORD.fullmatch(part):
-                word, marks = m.groups()
-                got = self._one(word) + self._one(marks) if marks else self._one(word)
+            word = part.rstrip(_MARKS)
+            if not (word.isascii() and word.removeprefix(" ").isalpha()):
+                m = _WORD.fullmatch(part)
+                word = m[1] if m else ""
+            if not word:
+                got = array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
+            elif len(word) == len(part):
+                got = self._bpe(part)
             else:
-                got = np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
-            self.new[part] = got
+                got = self._one(word) + self._one(part[len(word) :])
+        self.new[part] = got
         return got
 
     def encode(self, texts: list[str]) -> list[bytes]:

@@ -244,11 +244,16 @@ def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", column: str
 
 
 def fit_tables(spark: SparkSession, sf_dir: str) -> Lexicon:
-    """A lexicon from documents and labels, of rows whose crc32(doc_id) mod 3 isn't 1."""
+    """A lexicon from documents and labels, of rows whose crc32(doc_id) mod 3 isn't 1.
+
+    The labels are sampled to the lexicon's bounds first, so that few texts are joined to them.
+    """
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = common.table(spark, sf_dir, "labels").where("toxic in (0, 1)").select("doc_id", F.col("toxic").alias("label"))
-    learn = docs.join(labels, "doc_id").where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
-    return fit(learn.select("text", "label", F.col("doc_id").alias("key")))
+    labels = common.table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    labels = labels.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
+    some = [common.cut(_sample(labels.where(F.col("label") == y).select("doc_id", "label", F.lit("").alias("text"), F.col("doc_id").alias("key")), most), "sample") for y, most in ((1, MAX_TOXIC), (0, MAX_CLEAN))]
+    learn = docs.join(F.broadcast(some[0].unionAll(some[1]).select("doc_id", "label")), "doc_id")
+    return fit(common.cut(learn.select("text", "label", F.col("doc_id").alias("key")), "learn"))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

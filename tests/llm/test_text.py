@@ -40,7 +40,7 @@ def test_token_files(spark, odd, none):
 
 def test_parts_of_odd_texts_encode_alike():
     e = token_files.UnitEncoder(BPE)
-    texts = ["a  b   c \n d", "\t x  \n\n  y '  's don't", "<|endoftext|> a<|endoftext|>", "a\0 b\0", "x\x1c y", "it's  we'll 12 34", "\x85 a", "a_b. é'é ª. x²", "Ünder,, (x) foo-bar.baz"]
+    texts = ["a  b   c \n d", "\t x  \n\n  y '  's don't", "<|endoftext|> a<|endoftext|>", "a\0 b\0", "x\x1c y", "it's  we'll 12 34", "\x85 a", "a_b. é'é ª. x²", "Ünder,, (x) foo-bar.baz", "\na.\nb c\n", "a.\n\nb", "a\n\tb\nc"]
     assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
