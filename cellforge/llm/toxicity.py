@@ -103,7 +103,7 @@ class Lexicon:
         got = self.cache.get(word)
         if got is None:
             got = max(self.words.get(word, 0.0), *(self.prefixes.get(word[:n], 0.0) for n in _PREFIX if n <= len(word)), 0.0)
-            if len(self.cache) >= 300_000:
+            if len(self.cache) >= 100_000:
                 self.cache.clear()
             self.cache[word] = got
         return got
