@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
+from collections import Counter
 from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -35,53 +38,100 @@ TEMPLATES = {
 }
 TRIGGERS = ("licen", "permission", "redistribution", "public domain", "released under", "spdx")
 
-#: A block's size must fall by this share at least, and this share of the template's words stand in it in order.
+#: A notice's size must fall by this share at least, and this share of the template's words stand in it in order.
 REDUCTION, WORDING = 0.25, 0.9
 _WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return [w.lower() for w in _WORD.findall(text)]
 
 
 class Scanner:
-    """Ranks templates for a block by how much smaller it gets with each as a raw dictionary."""
+    """Finds templates' wording in a block, ranked by how much smaller the notice gets with each as a raw dictionary."""
 
     def __init__(self, templates: dict[str, str], level: int = 9):
         self.words = {k: words_of(v) for k, v in templates.items()}
+        self.counts = {k: Counter(v) for k, v in self.words.items()}
+        self.tails = {k: v[max((m.end() for m in _WORD.finditer(v)), default=0) :] for k, v in templates.items()}
         self.plain = zstandard.ZstdCompressor(level=level, write_content_size=False, write_checksum=False)
         self.with_template = {}
-        for k, v in templates.items():
-            data = zstandard.ZstdCompressionDict(v.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        for k, v in self.words.items():
+            data = zstandard.ZstdCompressionDict(" ".join(v).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.with_template[k] = zstandard.ZstdCompressor(level=level, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False)
 
-    def rank(self, block: str) -> list[tuple[float, str]]:
-        data = block.encode("utf-8", "surrogatepass")
-        size = len(self.plain.compress(data))
-        return sorted(((1 - len(c.compress(data)) / size, k) for k, c in self.with_template.items()), key=lambda x: (-x[0], x[1]))
+    def reduction(self, have: list[str], name: str) -> float:
+        """The share by which a notice's words, apart from the text around them, get smaller with a template."""
+        data = " ".join(have).encode("utf-8", "surrogatepass")
+        return 1 - len(self.with_template[name].compress(data)) / len(self.plain.compress(data))
 
-    def confirm(self, block: str, name: str) -> tuple[int, int]:
-        """(template words that the block lacks or has in another order, template words)."""
-        want, have = self.words[name], words_of(block)
-        same = sum(m.size for m in SequenceMatcher(None, want, have, autojunk=False).get_matching_blocks())
-        return len(want) - same, len(want)
+    def places(self, have: np.ndarray, want: list[int], missing: int, weight: int):
+        """(first word, end, missing words) of the template's words in order, at most `missing` of them missing.
 
-    def scan(self, block: str, reduction: float = REDUCTION, wording: float = WORDING) -> tuple[str, float, int] | None:
-        """(template, size reduction, missing words) of the first ranked template that the wording confirms.
-
-        Of templates in the running, the one with fewer missing words wins, then the larger reduction, then the longer one.
+        A missing word costs `weight`, another word between them 1; for each end, the cheapest beginning. Cost and beginning
+        are one number, so that a running minimum carries both.
+        """
+        n, m = len(want), len(have)
+        step = np.arange(m + 1, dtype=np.int64) << 32
+        best = np.int64(m) - np.arange(m + 1)
+        for w in want:
+            now = best + (weight << 32)
+            np.minimum(now[1:], np.where(have == w, best[:-1], now[1:]), out=now[1:])
+            best = np.minimum.accumulate(now - step) + step
+        cost, first = best >> 32, m - (best & 0xFFFFFFFF)
+        size = np.arange(m + 1) - first
+        lost = (cost - size + n) // (weight + 1)
+        # an end is a matched word's: one more word would cost more
+        own = np.flatnonzero((lost <= missing) & (cost < np.append(np.iinfo(np.int64).max, cost[:-1] + 1)) & (size > 0))
+        taken: list[tuple[int, int]] = []
+        for i in own[np.argsort(cost[own], kind="stable")].tolist():
+            x = int(first[i])
+            at = bisect.bisect(taken, (x, i))
+            if (at == 0 or taken[at - 1][1] <= x) and (at == len(taken) or taken[at][0] >= i):
+                taken.insert(at, (x, i))
+                yield x, i, int(lost[i])
+
+    def other_number(self, have: list[str], name: str) -> bool:
+        """Whether another number, as of a version, stands for one of the template's."""
+        want = self.words[name]
+        for kind, a, b, x, y in SequenceMatcher(None, want, have, autojunk=False).get_opcodes():
+            if kind == "replace" and any(w[0].isdecimal() for w in want[a:b]) and any(w[0].isdecimal() for w in have[x:y]):
+                return True
+        return False
+
+    def scan(self, block: str, reduction: float = REDUCTION, wording: float = WORDING) -> list[tuple[int, int, str, float, int]]:
+        """(start, end, template, size reduction, missing words) of the notices in a block that the wording confirms.
+
+        The reduction is that of the notice alone, from its first word to its last, whatever stands around it. White space,
+        marks and case don't count. Of templates that share words of the text, the one with more words in common wins, less
+        missing and other words, then the larger reduction.
         """
+        spans = [(m.start(), m.end()) for m in _WORD.finditer(block)]
+        have = [block[x:y].lower() for x, y in spans]
+        count, ids = Counter(have), {}
+        codes = np.array([ids.setdefault(w, len(ids)) for w in have], np.int64)
         found = []
-        for share, name in self.rank(block):
-            if share < reduction:
-                break
-            missing, n = self.confirm(block, name)
-            if missing <= (1 - wording) * n:
-                found.append((missing, -share, -n, name))
-        if not found:
-            return None
-        missing, share, _, name = min(found)
-        return name, -share, missing
+        for name, want in self.words.items():
+            n, most = len(want), int((1 - wording) * len(want) + 1e-9)
+            if not n or n - sum(min(c, count[w]) for w, c in self.counts[name].items()) > most:
+                continue
+            seen = set()
+            for weight in (8, 64):
+                for x, y, missing in self.places(codes, [ids.get(w, -1) for w in want], most, weight):
+                    if (x, y) in seen:
+                        continue
+                    seen.add((x, y))
+                    share = self.reduction(have[x:y], name)
+                    if share >= reduction and not (missing and self.other_number(have[x : y + 1], name)):
+                        found.append((2 * (n - missing) - (y - x) - missing, share, name, x, y, missing))
+        found.sort(key=lambda f: (-f[0], -f[1], f[2]))
+        out, used = [], []
+        for _, share, name, x, y, missing in found:
+            if all(y <= a or b <= x for a, b in used):
+                used.append((x, y))
+                end = spans[y - 1][1]
+                out.append((spans[x][0], end + len(self.tails[name]) * block.startswith(self.tails[name], end), name, share, missing))
+        return out[:1]
 
 
 @functools.lru_cache(maxsize=4)
@@ -109,9 +159,9 @@ def blocks(text: str, triggers: tuple[str, ...] = TRIGGERS, most: int = 4000):
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", reduction: float = REDUCTION, wording: float = WORDING) -> DataFrame:
-    """(doc_id, start, end, license, reduction, missing_words) of the blocks whose wording a template confirms.
+    """(doc_id, start, end, license, reduction, missing_words) of the notices whose wording a template confirms.
 
-    start and end are code points, the end exclusive. Null and empty texts have no block; repeated rows are scanned each. A
+    start and end are code points, the end exclusive. Null and empty texts have no notice; repeated rows are scanned each. A
     tie of reductions falls to the name in order.
     """
     own = tuple(sorted((TEMPLATES if templates is None else templates).items()))
@@ -122,8 +172,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
             out = [[] for _ in range(6)]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for s, e in blocks(text or ""):
-                    if got := scanner.scan(text[s:e], reduction, wording):
-                        for o, v in zip(out, (doc, s, e, *got), strict=True):
+                    for x, y, *got in scanner.scan(text[s:e], reduction, wording):
+                        for o, v in zip(out, (doc, s + x, s + y, *got), strict=True):
                             o.append(v)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], names=["doc_id", "start", "end", "license", "reduction", "missing_words"])
