@@ -35,11 +35,31 @@ TEMPLATES = {
     "MIT-line": "Released under the MIT License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    "AGPL-3.0-only": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, version 3 of the License. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    "GPL-2.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "GPL-2.0-only": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 2 of the License. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "GPL-3.0-only": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3 of the License. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "LGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "LGPL-3.0-only": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, version 3 of the License. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-NC-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
 }
-TRIGGERS = ("licen", "permission", "redistribution", "public domain", "released under", "spdx")
+# SPDX lines; of a longer expression, each license that is named here.
+TEMPLATES |= {f"{k}-spdx": f"SPDX-License-Identifier: {k}" for k in ("AGPL-3.0", "Apache-2.0", "BSD-2-Clause", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense")}
+TRIGGERS = ("licen", "permission", "redistribution", "public domain", "released under", "spdx", "copyright")
 
 #: A notice's size must fall by this share at least, and this share of the template's words stand in it in order.
 REDUCTION, WORDING = 0.25, 0.9
+#: Characters on each side of a trigger: four times the longest template, which the size reduction lets no notice exceed.
+REACH = 4 * max(map(len, TEMPLATES.values()))
+_MARKS = r"[\W_]{1,200}"
+_SPDX = ["spdx", "license", "identifier"]
+_EXPRESSION = re.compile(r"SPDX-License-Identifier:[ \t]*(?:\(*[\w.+-]+\)*[ \t]+(?:OR|AND|WITH)[ \t]+)*\(*[\w.-]+", re.I)
+_VERSIONS = re.compile(r"(?:-only|-or-later|\+)?(?![\w+-]|\.\w)", re.I)
 _WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 
 
@@ -121,6 +141,8 @@ class Scanner:
                     if (x, y) in seen:
                         continue
                     seen.add((x, y))
+                    if want[:3] == _SPDX and not (_EXPRESSION.fullmatch(block, spans[x][0], spans[y - 1][1]) and _VERSIONS.match(block, spans[y - 1][1])):
+                        continue
                     share = self.reduction(have[x:y], name)
                     if share >= reduction and not (missing and self.other_number(have[x : y + 1], name)):
                         found.append((2 * (n - missing) - (y - x) - missing, share, name, x, y, missing))
@@ -139,21 +161,20 @@ def _scanner(templates: tuple[tuple[str, str], ...]) -> Scanner:
     return Scanner(dict(templates))
 
 
-def blocks(text: str, triggers: tuple[str, ...] = TRIGGERS, most: int = 4000):
-    """(start, end) of the paragraph lines around a trigger: each line that has one, in windows of `most` characters at most.
+def blocks(text: str, triggers: tuple[str, ...] = TRIGGERS, reach: int = REACH):
+    """(start, end) of the text around triggers, line feeds or not: `reach` characters on each side.
 
-    Longer lines are cut into overlapping windows around their triggers, so no part of a text is left out.
+    White space and comment marks may stand between the words of a trigger as in a notice.
+    Each window begins at the end of the one before at the earliest.
     """
     low = text.lower()
     if len(low) != len(text):  # a few letters change length in lower case; offsets must hold
         low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
     done = 0
-    for at in sorted({m.start() for t in triggers for m in re.finditer(re.escape(t), low)}) if any(t in low for t in triggers) else ():
+    for at in sorted({m.start() for t in triggers if t.split()[0] in low for m in re.finditer(_MARKS.join(map(re.escape, t.split())), low)}):
         if at < done:
             continue
-        start, end = low.rfind("\n", 0, at) + 1, low.find("\n", at)
-        end = len(low) if end < 0 else end
-        start, end = max(start, at - most // 2, done), min(end, at + most // 2)
+        start, end = max(at - reach, done), min(at + reach, len(text))
         yield start, end
         done = end
 

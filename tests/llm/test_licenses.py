@@ -1,4 +1,5 @@
 import random
+import textwrap
 
 from cellforge.llm import license_scan
 
@@ -23,3 +24,20 @@ def test_notices_in_running_prose(spark):
     got = {r.doc_id: (r.license, r.missing_words, r.start, r.end) for r in license_scan.scan(docs).collect()}
     at = {i: text.index(license_scan.TEMPLATES[name]) for i, text, name in rows}
     assert got == {i: (name, 0, at[i], at[i] + len(license_scan.TEMPLATES[name])) for i, _, name in rows}
+
+
+def test_wrapped_notices_and_spdx_lines():
+    for name, notice in license_scan.TEMPLATES.items():
+        if name.endswith("-spdx"):
+            continue
+        for mark in ("", " * ", "# ", "// ", "\t;; "):
+            for width in (30, 72):
+                head = f"{mark}some file\n{mark}\n"
+                text = head + textwrap.fill(notice, width, initial_indent=mark, subsequent_indent=mark, break_long_words=False) + "\n\nint main() {}\n"
+                assert [f[2:] for f in found(text)] == [(name, 0)], text
+    upper = license_scan.TEMPLATES["BSD-2-Clause"].upper().replace(" MODIFICATION", " CHANGE")
+    assert [f[2:] for f in found(upper)] == [("BSD-2-Clause", 1)]
+    for line, want in [("MIT", ["MIT"]), ("GPL-2.0-or-later", ["GPL-2.0"]), ("GPL-3.0+", ["GPL-3.0"]), ("BSD-3-Clause", []), ("BSD-2-Clause-Patent", []), ("MITNFA", []), ("Zlib", [])]:
+        text = f"// SPDX-License-Identifier: {line}\n// the mit and the isc met\n"
+        assert [f[2] for f in found(text)] == [f"{w}-spdx" for w in want], line
+    assert not found(license_scan.TEMPLATES["LGPL-3.0"].replace("version 3", "version 2.1"))
