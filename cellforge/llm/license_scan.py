@@ -67,6 +67,15 @@ def words_of(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
+def _free(taken: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Adds a range to sorted ones, if it meets none of them."""
+    at = bisect.bisect(taken, (start, end))
+    if (at and taken[at - 1][1] > start) or (at < len(taken) and taken[at][0] < end):
+        return False
+    taken.insert(at, (start, end))
+    return True
+
+
 class Scanner:
     """Finds templates' wording in a block, ranked by how much smaller the notice gets with each as a raw dictionary."""
 
@@ -106,9 +115,7 @@ class Scanner:
         taken: list[tuple[int, int]] = []
         for i in own[np.argsort(cost[own], kind="stable")].tolist():
             x = int(first[i])
-            at = bisect.bisect(taken, (x, i))
-            if (at == 0 or taken[at - 1][1] <= x) and (at == len(taken) or taken[at][0] >= i):
-                taken.insert(at, (x, i))
+            if _free(taken, x, i):
                 yield x, i, int(lost[i])
 
     def other_number(self, have: list[str], name: str) -> bool:
@@ -124,7 +131,7 @@ class Scanner:
 
         The reduction is that of the notice alone, from its first word to its last, whatever stands around it. White space,
         marks and case don't count. Of templates that share words of the text, the one with more words in common wins, less
-        missing and other words, then the larger reduction.
+        missing and other words, then the larger reduction; those that share none are all given.
         """
         spans = [(m.start(), m.end()) for m in _WORD.finditer(block)]
         have = [block[x:y].lower() for x, y in spans]
@@ -149,11 +156,11 @@ class Scanner:
         found.sort(key=lambda f: (-f[0], -f[1], f[2]))
         out, used = [], []
         for _, share, name, x, y, missing in found:
-            if all(y <= a or b <= x for a, b in used):
-                used.append((x, y))
+            # the licenses of an SPDX expression share its head
+            if _free(used, y - len(self.words[name]) + 3 if self.words[name][:3] == _SPDX else x, y):
                 end = spans[y - 1][1]
                 out.append((spans[x][0], end + len(self.tails[name]) * block.startswith(self.tails[name], end), name, share, missing))
-        return out[:1]
+        return sorted(out)
 
 
 @functools.lru_cache(maxsize=4)
@@ -164,19 +171,19 @@ def _scanner(templates: tuple[tuple[str, str], ...]) -> Scanner:
 def blocks(text: str, triggers: tuple[str, ...] = TRIGGERS, reach: int = REACH):
     """(start, end) of the text around triggers, line feeds or not: `reach` characters on each side.
 
-    White space and comment marks may stand between the words of a trigger as in a notice.
-    Each window begins at the end of the one before at the earliest.
-    """
+    White space and comment marks may stand between the words of a trigger as in a notice.    """
     low = text.lower()
     if len(low) != len(text):  # a few letters change length in lower case; offsets must hold
         low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
-    done = 0
+    start = end = 0
     for at in sorted({m.start() for t in triggers if t.split()[0] in low for m in re.finditer(_MARKS.join(map(re.escape, t.split())), low)}):
-        if at < done:
-            continue
-        start, end = max(at - reach, done), min(at + reach, len(text))
+        if at - reach > end:
+            if end:
+                yield start, end
+            start = at - reach
+        end = min(at + reach, len(text))
+    if end:
         yield start, end
-        done = end
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", reduction: float = REDUCTION, wording: float = WORDING) -> DataFrame:

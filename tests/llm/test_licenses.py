@@ -41,3 +41,22 @@ def test_wrapped_notices_and_spdx_lines():
         text = f"// SPDX-License-Identifier: {line}\n// the mit and the isc met\n"
         assert [f[2] for f in found(text)] == [f"{w}-spdx" for w in want], line
     assert not found(license_scan.TEMPLATES["LGPL-3.0"].replace("version 3", "version 2.1"))
+
+
+def test_several_notices_and_long_lines():
+    t = license_scan.TEMPLATES
+    rng = random.Random(8)
+    dual = f"{t['MIT-line']} {t['CC-BY-4.0-line']} {t['MIT']}\n{t['Apache-2.0-line']} {t['MIT-line']}"
+    assert [f[2] for f in found(dual)] == ["MIT-line", "CC-BY-4.0-line", "MIT", "Apache-2.0-line", "MIT-line"]
+    assert [f[2] for f in found("/* SPDX-License-Identifier: (MIT OR Apache-2.0) AND CC-BY-NC-4.0 */")] == ["MIT-spdx", "Apache-2.0-spdx", "CC-BY-NC-4.0-spdx"]
+    # a notice at any distance from a trigger before it, past each way that a line could be cut
+    for name in ("Apache-2.0", "MIT", "ISC", "GPL-3.0"):
+        for gap in range(1700, 2300, 40):
+            text = "a license " + noise(rng, 1000)[:gap] + f" {t[name]} " + noise(rng, 1000)
+            at = text.index(t[name])
+            assert found(text) == [(at, at + len(t[name]), name, 0)]
+    for gap in range(license_scan.REACH - 400, license_scan.REACH + 400, 80):
+        text = "a license " + noise(rng, 1500)[:gap] + f" {t['MIT']} " + noise(rng, 1000)
+        assert [f[2] for f in found(text)] == ["MIT"]
+    many = f"{t['MIT-line']} {noise(rng, 5)}\n" * 500
+    assert [f[2] for f in found(many)] == ["MIT-line"] * 500
