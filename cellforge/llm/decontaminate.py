@@ -52,12 +52,14 @@ class Index:
 
     Items of fewer than k words are one shingle of all their words. A partition's windows are two blocks of as many shingles
     as its largest item has: each run of that length lies whole in a window, so the windows are short however long the
-    document, and an item in one has a resemblance of a fifth at least.
+    document, and an item in one has a resemblance of a fifth at least. Items of fewer distinct shingles, at most half a
+    block, are looked up by each shingle's own hash instead.
     """
 
     def __init__(self, items: list[tuple[int, str]], k: int = SHINGLE, threshold: float = THRESHOLD, hashes: int = HASHES):
         self.threshold, self.factors = threshold, _permutations(hashes)
-        self.items, self.parts = {}, {}
+        self.items, self.parts, self.short = {}, {}, {}
+        short: dict[int, list] = {}
         parts: dict[tuple[int, int], list] = {}
         for name, text in items:
             words = words_of(text)
@@ -66,7 +68,17 @@ class Index:
             n = min(k, len(words))
             h = np.unique(shingle_hashes(words, n))
             self.items[name] = (n, h, frozenset(b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)))
-            parts.setdefault((n, max(4, 1 << math.ceil(math.log2(max(len(words) - n + 1, 1))))), []).append(name)
+            block = max(4, 1 << math.ceil(math.log2(max(len(words) - n + 1, 1))))
+            if 2 * len(h) <= block:
+                short.setdefault(n, []).extend((x, name) for x in h.tolist())
+            else:
+                parts.setdefault((n, block), []).append(name)
+        for n, own in short.items():
+            own.sort()
+            value = np.array([x for x, _ in own], np.uint64)
+            low = np.zeros(1 << 16, bool)
+            low[value & np.uint64(0xFFFF)] = True
+            self.short[n] = (value, [name for _, name in own], low)
         for key, names in parts.items():
             tables = []
             for p in self.factors:
@@ -80,13 +92,24 @@ class Index:
     def candidates(self, docs: list[list[bytes]]) -> list[set[int]]:
         """Each document's candidate items; the windows run over all documents' shingles, one after another."""
         out: list[set[int]] = [set() for _ in docs]
-        for n in sorted({n for n, _ in self.parts}):
-            each = [_upper(shingle_hashes(w, n)) for w in docs]
+        for n in sorted({n for n, _ in self.parts} | set(self.short)):
+            each = [shingle_hashes(w, n) for w in docs]
             ends = np.cumsum([len(h) for h in each])
             if not len(ends) or not ends[-1]:
                 continue
-            sizes = sorted(b for k, b in self.parts if k == n)
             h = np.concatenate(each)
+            if n in self.short:
+                value, names, low = self.short[n]
+                at = np.flatnonzero(low[h & np.uint64(0xFFFF)])
+                left, right = np.searchsorted(value, h[at], "left"), np.searchsorted(value, h[at], "right")
+                hit = left < right
+                whose = np.searchsorted(ends, at[hit], "right")
+                for d, x, y in zip(whose.tolist(), left[hit].tolist(), right[hit].tolist(), strict=True):
+                    out[d].update(names[x:y])
+            sizes = sorted(b for k, b in self.parts if k == n)
+            if not sizes:
+                continue
+            h = _upper(h)
             h = np.concatenate([h, np.full(-len(h) % sizes[0], h[-1], np.uint32)])
             for i, p in enumerate(self.factors):
                 least, size = _mixed(h, p), 1
