@@ -143,14 +143,20 @@ class UnitEncoder:
 
     A boundary before a blank that stands between two characters that aren't white space is one for the vocabulary's own
     splitting pattern too, so the ids of a text are those of its parts; each new part is encoded by the library, words and
-    the marks after them apart. The cache has two generations: full, the newer becomes the older.
+    the marks after them apart. A special token in a text is its one id, as by the library's defaults, and what stands before
+    and after it are texts of their own. The cache has two generations: full, the newer becomes the older.
     """
 
     def __init__(self, path: str, limit: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError("an added token takes more than its own text")
+        self.added = {t.content: array("I", [i]).tobytes() for i, t in added.items()}
+        # the longest of those that begin at a place
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
         self.model = self.tokenizer.model
         self.limit, self.new, self.old, self.letters = limit, {}, {}, _byte_letters()
 
@@ -200,16 +206,24 @@ class UnitEncoder:
         """Each text's ids as little-endian uint32."""
         out = []
         for text in texts:
-            parts = self.parts(text) if text else []
-            got, at = list(map(self.new.get, parts)), -1
-            for _ in range(got.count(None)):
-                at = got.index(None, at + 1)
-                got[at] = self._learn(parts[at])
-            if len(self.new) > self.limit:
-                self.old, self.new = self.new, {}
-            out.append(b"".join(got))
+            if any(t in text for t in self.added):
+                sections = self.split.split(text)
+                out.append(b"".join(self.added[s] if i % 2 else self._plain(s) for i, s in enumerate(sections)))
+            else:
+                out.append(self._plain(text))
         return out
 
+    def _plain(self, text: str) -> bytes:
+        """Ids of a text without special tokens."""
+        parts = self.parts(text) if text else []
+        got, at = list(map(self.new.get, parts)), -1
+        for _ in range(got.count(None)):
+            at = got.index(None, at + 1)
+            got[at] = self._learn(parts[at])
+        if len(self.new) > self.limit:
+            self.old, self.new = self.new, {}
+        return b"".join(got)
+
 
 @functools.lru_cache(maxsize=2)
 def _encoder(path: str) -> UnitEncoder:
