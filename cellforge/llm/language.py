@@ -85,7 +85,7 @@ def fit(rows: DataFrame, max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS) -
     """
     rows = rows.where("text is not null and lang is not null").select("text", "lang", "key")
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    part = rows.join(F.broadcast(sizes.orderBy(F.desc("n"), "lang").limit(1000)), "lang").where(F.pmod(F.xxhash64("key", "text"), F.col("n")) < max_rows)
+    part = rows.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64("key", "text"), F.col("n")) < max_rows)
     words = part.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w")).where("w <> ''").groupBy("lang", "w").count()
     words = common.cut(words, "words")
     ranked = words.selectExpr("lang", "w", "`count` as n", "row_number() over (partition by lang order by `count` desc, w) as r").where(F.col("r") <= max_words)
