@@ -5,12 +5,15 @@ from __future__ import annotations
 import contextlib
 import contextvars
 import math
+import threading
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from numbers import Real
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from cellforge.functions import ieee
@@ -53,8 +56,8 @@ class Client:
     def __init__(self, spark: SparkSession | None = None):
         self.spark = ship(spark or SparkSession.builder.getOrCreate())
 
-    def open_dataset(self, uri: str, step: int = 0, level: int = 0) -> Dataset:
-        return open_dataset(self.spark, uri, step, level)
+    def open_dataset(self, uri: str, step: int = 0, level: int = 0, periodic: tuple[bool, bool, bool] | None = None) -> Dataset:
+        return open_dataset(self.spark, uri, step, level, periodic)
 
 
 _DEFAULT: list[Client] = []
@@ -138,8 +141,10 @@ class RegularDomain:
 
 
 class Scalar(Lazy):
-    def __init__(self, frame: Callable[[], DataFrame], finish: Callable = lambda r: r[0]):
-        self._frame, self._finish = frame, finish
+    """One number of some rows. source: those rows and the aggregate, so that numbers of the same rows are taken in one pass."""
+
+    def __init__(self, frame: Callable[[], DataFrame], finish: Callable = lambda r: r[0], source: tuple | None = None):
+        self._frame, self._finish, self.source = frame, finish, source
 
     def frame(self) -> DataFrame:
         return self._frame()
@@ -151,8 +156,8 @@ class Scalar(Lazy):
 class Table(Lazy):
     """A bounded result: bins, surfaces or modes, as a dictionary of arrays."""
 
-    def __init__(self, frame: Callable[[], DataFrame], order: Sequence[str], shape: Callable[[dict], dict] = lambda x: x):
-        self._frame, self._order, self._shape = frame, list(order), shape
+    def __init__(self, frame: Callable[[], DataFrame], order: Sequence[str], shape: Callable[[dict], dict] = lambda x: x, source: tuple | None = None):
+        self._frame, self._order, self._shape, self.source = frame, list(order), shape, source
 
     def frame(self) -> DataFrame:
         return self._frame()
@@ -193,10 +198,14 @@ class Dataset:
         step, level = self.step if step is None else step, self.level if level is None else level
         if all(x.level != level for x in self.mesh.hierarchy.levels):
             raise ValueError(f"there is no level {level}")
-        source = self.mesh if step == self.step else self.opener(step) if self.opener else None
-        if source is None:
-            raise ValueError(f"this dataset has step {self.step} only")
-        return Dataset(self.spark, source, step, level, self.species, self.opener)
+        source, species = self.mesh, self.species
+        if step != self.step:
+            if self.opener is None:
+                raise ValueError(f"this dataset has step {self.step} only")
+            source, species = self.opener(step)
+        out = Dataset(self.spark, source, step, level, species, self.opener)
+        out.derived = dict(self.derived)
+        return out
 
     def plane(self, axis, coord=None, zoom: float = 1.0, resolution=(512, 512)) -> dict:
         return geometry.plane(self.mesh.hierarchy, axis, coord, zoom, resolution)
@@ -228,21 +237,27 @@ class Dataset:
         return ParticleSpecies(self, name)
 
     def preload(self, fields: Sequence[str]) -> Dataset:
-        kept = self.mesh.cells.select(*CELL, "block", *[self.resolve_field(f) for f in fields]).persist()
+        names = [self.resolve_field(f) for f in fields]
+        kept = self.mesh.only(*names).select(*CELL, "block", *names).persist()
         kept.count()
-        return Dataset(self.spark, Mesh(kept, self.mesh.hierarchy, tuple(fields)), self.step, self.level, self.species, self.opener)
+        out = Dataset(self.spark, Mesh(kept, self.mesh.hierarchy, tuple(names)), self.step, self.level, self.species, self.opener)
+        out.derived = dict(self.derived)
+        return out
 
 
-def open_dataset(spark: SparkSession, uri: str, step: int = 0, level: int = 0) -> Dataset:
+def open_dataset(spark: SparkSession, uri: str, step: int = 0, level: int = 0, periodic: tuple[bool, bool, bool] | None = None) -> Dataset:
+    """A stored dataset. periodic: which axes are, for formats that don't tell."""
     kind, path = catalog.kind_of(uri)
     if kind == "memory":
         raise ValueError("datasets in memory are built with memory_dataset()")
-    opener = lambda s: catalog.OPENERS[kind](ship(spark), path, s)
-    source = opener(step)
-    species = {}
-    if kind == "amrex":
-        names = catalog.plotfile.PlotfileReader(path).particle_species()
-        species = {n: catalog.particles_from_plotfile(spark, path, n, step) for n in names}
+
+    def opener(s: int):
+        source, species = catalog.OPENERS[kind](ship(spark), path, s, periodic), {}
+        if kind == "amrex":
+            species = {n: catalog.particles_from_plotfile(spark, path, n, s) for n in catalog.plotfile.PlotfileReader(path).particle_species()}
+        return source, species
+
+    source, species = opener(step)
     return Dataset(spark, source, step, level, species, opener).select(step, level)
 
 
@@ -364,7 +379,7 @@ class Array(Lazy):
     def frame(self) -> DataFrame:
         if self.domain is not None:
             return self.base.select("py", "px", self.column.alias("value"))
-        return self.dataset.mesh.cells.select("level", "block", "i", "j", "k", self.column.alias("value"))
+        return self._mesh().cells.select("level", "block", "i", "j", "k", F.col("_value").alias("value"))
 
     def _result(self, rows):
         if self.domain is not None:
@@ -385,12 +400,10 @@ class Array(Lazy):
             yield b.level, b.block, out.astype(self.dtype)
 
     def _mesh(self, **others: Array) -> Mesh:
-        m = self.dataset.mesh.with_field("_value", self.column)
-        for name, a in others.items():
+        for a in others.values():
             a._amr("this operator")
             self._same(a)
-            m = m.with_field(name, a.column)
-        return m
+        return self.dataset.mesh.with_fields({"_value": self.column} | {name: a.column for name, a in others.items()})
 
     def _image(self, frame: DataFrame, view: dict, selection: tuple) -> Array:
         return Array(self.dataset, F.col("value"), self.name, RegularDomain(view["axis"], selection, tuple(view["rect"]), view["resolution"]), frame)
@@ -426,7 +439,7 @@ class Array(Lazy):
         rows = lambda: mesh.histogram(self._rows(**others), F.col("_value"), bins, range, F.col("_w") if others else None)
         mesh._bounds(range, bins)
         edges = np.array(mesh.histogram_edges(bins, *map(float, range)))
-        return Table(rows, ["bin"], lambda t: {"counts": t["count"], "edges": edges})
+        return Table(rows, ["bin"], lambda t: {"counts": t["count"], "edges": edges}, None if self.domain is not None else (self, bins, range, weights))
 
     def histogram2d(self, other: Array, bins: tuple[int, int], range, weights: Array | None = None, weight_mode: str = "input") -> Table:  # noqa: A002
         others = {"_y": other} | ({} if weights is None else {"_w": weights})
@@ -472,7 +485,8 @@ class Array(Lazy):
         frame = flux.flux_cylinder(m, state, radius, height, gamma, temperature_bins)
         return Table(lambda: frame, ["height_index", "sign", "tbin", "section"])
 
-    def toomre_q_profile(self, momentum, internal_energy, magnetic_field, potential, z_bounds, radial_range=None, bins=None, radial_edges=None, center=(0.0, 0.0, 0.0), gamma: float = 5 / 3) -> Table:
+    def toomre_q_profile(self, momentum, internal_energy, magnetic_field, potential, z_bounds, radial_range=None, bins=None, radial_edges=None, center=(0.0, 0.0, 0.0), gamma: float = 5 / 3, gravity: float = 6.674e-8) -> Table:
+        """Annular moments, and the surface density, speeds and Q made of them."""
         self._amr("toomre_q_profile")
         if (radial_edges is None) == (radial_range is None or bins is None):
             raise ValueError("give radial edges, or a radial range and bins")
@@ -481,7 +495,7 @@ class Array(Lazy):
         m = self._mesh(**{f"_{n}": a for n, a in own.items()})
         state = {"density": "_value"} | {n: f"_{n}" for n in flux.DISK[1:]}
         frame = flux.disk_moments(m, state, "_potential", z_bounds, edges, center)
-        return Table(lambda: frame, ["rbin"], lambda t: t | {"edges": np.array(edges), "gamma": gamma})
+        return Table(lambda: frame, ["rbin"], lambda t: t | flux.disk_stability(t, edges, gamma, gravity) | {"edges": np.array(edges), "gamma": gamma})
 
 
 @dataclass(eq=False)
@@ -504,7 +518,7 @@ class MeshMask(Lazy):
     def frame(self) -> DataFrame:
         if self.domain is not None:
             return self.base.select("py", "px", self.column.alias("value"))
-        return self.dataset.mesh.cells.select("level", "block", "i", "j", "k", self.column.alias("value"))
+        return self.dataset.mesh.with_field("_value", self.column).cells.select("level", "block", "i", "j", "k", F.col("_value").alias("value"))
 
     def _result(self, rows):
         if self.domain is None:
@@ -663,7 +677,7 @@ class ParticleArray(Lazy):
             yield now, np.array(held, self.dtype)
 
     def _one(self, name: str, mask: Column | None = None, **options) -> Scalar:
-        return Scalar(lambda: particles.summary(self.rows, self.column, mask, **options).select(name))
+        return Scalar(lambda: particles.summary(self.rows, self.column, mask, **options).select(name), source=(self.rows, self.column, mask, options, [name]))
 
     def sum(self) -> Scalar:
         return self._one("sum")
@@ -685,7 +699,7 @@ class ParticleArray(Lazy):
                 raise ZeroDivisionError("the mean of no particles")
             return r["sum"] / r["len"]
 
-        return Scalar(lambda: particles.summary(self.rows, self.column).select("sum", "len"), finish)
+        return Scalar(lambda: particles.summary(self.rows, self.column).select("sum", "len"), finish, (self.rows, self.column, None, {}, ["sum", "len"]))
 
     def histogram(self, bins, range=None, weights: ParticleArray | None = None, density: bool = False) -> Table:  # noqa: A002
         if isinstance(bins, int):
@@ -743,27 +757,112 @@ def distance3(a: Sequence[ParticleArray], b: Sequence[ParticleArray]) -> Particl
     return a[0]._make(particles.distance3(*[x.column for x in (*a, *b)]), "distance")
 
 
+def _fused_scalars(own: list[Scalar]) -> list:
+    """Numbers of the same rows, by one aggregation."""
+    rows, columns = own[0].source[0], []
+    for n, v in enumerate(own):
+        _, column, mask, options, names = v.source
+        columns += [c.alias(f"{n}_{name}") for name, c in particles.aggregates(column, mask, **options).items() if name in names]
+    got = rows.agg(*columns).first()
+    return [v._finish(Row(**{name: got[f"{n}_{name}"] for name in v.source[4]})) for n, v in enumerate(own)]
+
+
+def _fused_histograms(own: list[Table]) -> list:
+    """Histograms of fields of one hierarchy, by one pass over its uncovered cells."""
+    arrays = {}
+    for n, v in enumerate(own):
+        array, _, _, weights = v.source
+        arrays |= {f"_v{n}": array} | ({} if weights is None else {f"_w{n}": weights})
+    first = own[0].source[0]
+    m = first._mesh(**arrays)
+    specs = [(F.col(f"_v{n}"), v.source[1], v.source[2], F.col(f"_w{n}") if v.source[3] is not None else None) for n, v in enumerate(own)]
+    found = {(r.which, r.bin): r["count"] for r in mesh.histograms(m.leaves(m.cells.select(*CELL, *arrays)), specs).collect()}
+    return [v._result([Row(bin=b, count=found.get((n, b), 0.0)) for b in range(v.source[1])]) for n, v in enumerate(own)]
+
+
 def compute(*values: Lazy, gather: bool = False, max_bytes: int | None = None):
     """Run the values of one dataset; one value gives its result, more a tuple.
 
-    gather and max_bytes concern arrays: a field over the hierarchy is never gathered, and particles beyond max_bytes raise
-    MemoryError before they are.
+    Numbers of the same particles are taken in one pass, and so are histograms of fields of the hierarchy; what is left runs
+    side by side. gather and max_bytes concern arrays: a field over the hierarchy is never gathered, and particles beyond
+    max_bytes raise MemoryError before they are.
     """
     if not values:
         raise ValueError("nothing to compute")
     sets = {id(d) for v in values if (d := getattr(v, "dataset", None) or getattr(getattr(v, "species", None), "dataset", None)) is not None}
     if len(sets) > 1:
         raise ValueError("the values are of different datasets")
-    out = []
     for v in values:
-        if isinstance(v, Array | MeshMask) and v.domain is None:
-            if gather:
-                raise ValueError("a field over the hierarchy isn't gathered")
-            out.append(v._plan())
-            continue
+        if gather and isinstance(v, Array | MeshMask) and v.domain is None:
+            raise ValueError("a field over the hierarchy isn't gathered")
         if isinstance(v, ParticleArray | ParticleMask) and max_bytes is not None:
             size = v._plan().count() * (1 if isinstance(v, ParticleMask) else np.dtype(v.dtype).itemsize)
             if size > max_bytes:
                 raise MemoryError(f"{size} bytes of particles; the limit is {max_bytes}")
-        out.append(v._result(v._plan().collect()))
+    jobs: dict[tuple, list[int]] = {}
+    for i, v in enumerate(values):
+        source = None if v.is_materialized else getattr(v, "source", None)
+        if isinstance(v, Scalar) and source:
+            jobs.setdefault(("scalars", id(source[0])), []).append(i)
+        elif isinstance(v, Table) and source:
+            jobs.setdefault(("histograms", id(source[0].dataset)), []).append(i)
+        else:
+            jobs["alone", i] = [i]
+
+    def run(kind: str, own: list[int]) -> list:
+        some = [values[i] for i in own]
+        if kind == "scalars":
+            return _fused_scalars(some)
+        if kind == "histograms" and len(some) > 1:
+            return _fused_histograms(some)
+        (v,) = some
+        return [v._plan() if isinstance(v, Array | MeshMask) and v.domain is None else v._result(v._plan().collect())]
+
+    out = [None] * len(values)
+    with ThreadPoolExecutor(min(len(jobs), 8)) as pool:
+        futures = [(own, pool.submit(inheritable_thread_target(SparkSession.getActiveSession())(run), kind, own)) for (kind, _), own in jobs.items()]
+        for own, future in futures:
+            for i, got in zip(own, future.result(), strict=True):
+                out[i] = got
     return out[0] if len(out) == 1 else tuple(out)
+
+
+class Progress:
+    """Stages and tasks of the jobs that run within it: `with Progress(spark) as p: ...; p.report()`.
+
+    Jobs are told apart by a group of their own, and their states come from Spark's status tracker. With every > 0, a line is
+    printed each so many seconds.
+    """
+
+    def __init__(self, spark: SparkSession, every: float = 0.0, out: Callable[[str], None] = print):
+        self.context, self.every, self.out = spark.sparkContext, every, out
+        self.group = f"cellforge-{id(self)}"
+        self._stop = threading.Event()
+
+    def __enter__(self) -> Progress:
+        self._before = self.context.getLocalProperty("spark.jobGroup.id")
+        self.context.setJobGroup(self.group, "cellforge")
+        if self.every > 0:
+            threading.Thread(target=self._print, daemon=True).start()
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._stop.set()
+        self.context.setLocalProperty("spark.jobGroup.id", self._before)
+
+    def _print(self) -> None:
+        while not self._stop.wait(self.every):
+            self.out(str(self.report()))
+
+    def report(self) -> dict[str, int]:
+        """Jobs, stages, tasks and those of the tasks that are done or failed."""
+        tracker, out = self.context.statusTracker(), {"jobs": 0, "stages": 0, "tasks": 0, "done": 0, "failed": 0}
+        for job in tracker.getJobIdsForGroup(self.group):
+            out["jobs"] += 1
+            info = tracker.getJobInfo(job)
+            for stage in map(tracker.getStageInfo, info.stageIds if info else ()):
+                if stage:
+                    out["stages"] += 1
+                    for name, n in (("tasks", stage.numTasks), ("done", stage.numCompletedTasks), ("failed", stage.numFailedTasks)):
+                        out[name] += n
+        return out

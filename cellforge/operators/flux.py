@@ -18,44 +18,39 @@ COMPONENTS = ("mass", "energy", "momentum_energy", "scalar")
 STATE = ("density", "momentum_x", "momentum_y", "momentum_z", "energy", "scalar", "bx", "by", "bz")
 
 
-def plane_area(normal: Sequence[Column], low: Sequence[Column], size: Sequence[Column], distance: Column) -> Column:
-    """Area of the plane n.x = distance inside a box, by inclusion and exclusion over the corners along n.
+def with_plane_area(rows: DataFrame, normal: Sequence[str], low: Sequence[str], size: Sequence[str], distance: str, name: str) -> DataFrame:
+    """rows with the area of the plane n.x = distance inside a box, by inclusion and exclusion over the corners along n.
 
     With m non-zero components of n and d the distance left from the corner nearest along n, it is the other edges' lengths
-    times sum((-1)^|b| max(0, d - b.|n|L)^(m-1)) / ((m-1)! prod |n|); with one, the face if the plane cuts the box.
+    times sum((-1)^|b| max(0, d - b.|n|L)^(m-1)) / ((m-1)! prod |n|); with one, the face if the plane cuts the box. What terms
+    share is a column of its own, so that generated code stays small; null components count as none.
     """
-    size_n = [F.abs(n) for n in normal]
-    left = distance
+    left = F.col(distance)
     for n, lo, s in zip(normal, low, size, strict=True):
-        left = left - n * F.when(n >= 0, lo).otherwise(lo + s)
-    out = F.lit(0.0)
-    for some in product((False, True), repeat=3):
-        m = sum(some)
-        if not m:
-            continue
-        here = F.lit(True)
-        flat = F.lit(1.0)
-        for s, n, length in zip(some, size_n, size, strict=True):
-            here = here & ((n > 0) if s else (n == 0))
-            if not s:
-                flat = flat * length
-        axes = [a for a in range(3) if some[a]]
-        if m == 1:
-            area = F.when((left >= 0) & (left <= size_n[axes[0]] * size[axes[0]]), flat).otherwise(F.lit(0.0))
-        else:
-            total, slopes = F.lit(0.0), F.lit(float(math.factorial(m - 1)))
-            for a in axes:
-                slopes = slopes * size_n[a]
-            for corner in product((0, 1), repeat=m):
-                rest = left
-                for a, b in zip(axes, corner, strict=True):
-                    if b:
-                        rest = rest - size_n[a] * size[a]
-                rest = F.greatest(rest, F.lit(0.0))
-                total = total + (-1.0) ** sum(corner) * (rest if m == 2 else rest * rest)
-            area = F.greatest(flat * total / F.when(here, slopes), F.lit(0.0))
-        out = F.when(here, area).otherwise(out)
-    return out
+        left = left - F.col(n) * F.when(F.col(n) >= 0, F.col(lo)).otherwise(F.col(lo) + F.col(s))
+    reach = [f"_q{a}" for a in range(3)]
+    steep = sum((F.when(F.col(n) != 0, 1).otherwise(0) for n in normal), F.lit(0))
+    rows = rows.withColumns({q: F.abs(F.col(n)) * F.col(s) for q, n, s in zip(reach, normal, size, strict=True)} | {"_left": left, "_m": steep})
+
+    def corners(axes: Sequence[int], power: int) -> Column:
+        total = F.lit(0.0)
+        for corner in product((0, 1), repeat=len(axes)):
+            rest = F.col("_left")
+            for a, b in zip(axes, corner, strict=True):
+                rest = rest - F.col(reach[a]) if b else rest
+            rest = F.greatest(rest, F.lit(0.0))
+            total = total + (-1.0) ** sum(corner) * (F.pow(rest, F.lit(2.0)) if power == 2 else rest)
+        return total
+
+    n, s = [F.abs(F.col(x)) for x in normal], [F.col(x) for x in size]
+    out = F.when(F.col("_m") == 3, F.greatest(corners((0, 1, 2), 2) / (2.0 * n[0] * n[1] * n[2]), F.lit(0.0)))
+    for flat in range(3):
+        a, b = (x for x in range(3) if x != flat)
+        out = out.when((F.col("_m") == 2) & (n[flat] == 0), F.greatest(s[flat] * corners((a, b), 1) / (n[a] * n[b]), F.lit(0.0)))
+    for steep in range(3):
+        a, b = (x for x in range(3) if x != steep)
+        out = out.when((F.col("_m") == 1) & (n[steep] > 0) & F.col("_left").between(F.lit(0.0), F.col(reach[steep])), s[a] * s[b])
+    return rows.withColumn(name, out.otherwise(F.lit(0.0))).drop(*reach, "_left", "_m")
 
 
 def _cells(mesh: Mesh, state: dict[str, str], extra: Sequence[str] = ()) -> DataFrame:
@@ -164,10 +159,10 @@ def flux_sphere(mesh: Mesh, state: dict[str, str], radius, gamma: float = 5 / 3,
     mid = [F.col(f"l{a}") + F.col(f"d{a}") / 2 for a in range(3)]
     rows = rows.withColumns({f"c{a}": m for a, m in enumerate(mid)})
     rows = rows.withColumn("rc", F.sqrt(sum((F.col(f"c{a}") * F.col(f"c{a}") for a in range(3)), F.lit(0.0)))).where("rc > 0")
-    normal = [F.col(f"c{a}") / F.col("rc") for a in range(3)]
-    area = plane_area(normal, [F.col(f"l{a}") for a in range(3)], [F.col(f"d{a}") for a in range(3)], F.col("radius"))
     speed = (F.col("c0") * F.col("momentum_x") + F.col("c1") * F.col("momentum_y") + F.col("c2") * F.col("momentum_z")) / (F.col("density") * F.col("rc"))
-    rows = rows.withColumns({"area": area, "speed": speed, "n0": normal[0], "n1": normal[1], "n2": normal[2]}).where("area > 0")
+    rows = rows.withColumns({f"n{a}": F.col(f"c{a}") / F.col("rc") for a in range(3)} | {"speed": speed})
+    # a plane that misses the cell has area 0 and adds nothing
+    rows = with_plane_area(rows, ("n0", "n1", "n2"), ("l0", "l1", "l2"), ("d0", "d1", "d2"), "radius", "area")
     fluxes = _fluxes(rows, gamma, F.col("area"), [F.col("n0"), F.col("n1"), F.col("n2")], F.col("speed"))
     return _split(rows, {"radius_index": len(radii)}, fluxes, temperature_bins)
 
@@ -193,8 +188,10 @@ def flux_cylinder(mesh: Mesh, state: dict[str, str], radius: float, height, gamm
     face = F.col("d0") * F.col("d1")
     z0, z1 = F.greatest(low, -F.col("height")), F.least(high, F.col("height"))
     normal = [F.when(F.col("rc") > 0, F.col(f"c{a}") / F.col("rc")).otherwise(F.lit(0.0)) for a in range(2)] + [F.lit(0.0)]
-    wall = plane_area(normal, [F.col("l0"), F.col("l1"), z0], [F.col("d0"), F.col("d1"), z1 - z0], F.lit(radius))
-    wall = F.when((F.col("rc") > 0) & (F.col("far") >= radius**2) & (z1 > z0), wall).otherwise(F.lit(0.0))
+    rows = rows.withColumns({f"w{a}": n for a, n in enumerate(normal)} | {"z0": z0, "depth": z1 - z0, "radius": F.lit(radius)})
+    rows = with_plane_area(rows, ("w0", "w1", "w2"), ("l0", "l1", "z0"), ("d0", "d1", "depth"), "radius", "wall")
+    normal = [F.col(f"w{a}") for a in range(3)]
+    wall = F.when((F.col("rc") > 0) & (F.col("far") >= radius**2) & (F.col("depth") > 0), F.col("wall")).otherwise(F.lit(0.0))
     piece = lambda section, area, n: F.struct(F.lit(section).alias("section"), area.alias("area"), *[x.alias(f"n{a}") for a, x in enumerate(n)])
     cap = lambda z: F.when((low <= z) & (high >= z), face).otherwise(F.lit(0.0))
     pieces = F.array(piece(0, cap(F.col("height")), [F.lit(0.0), F.lit(0.0), F.lit(1.0)]), piece(0, cap(-F.col("height")), [F.lit(0.0), F.lit(0.0), F.lit(-1.0)]), piece(1, wall, normal))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+import operator
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -16,14 +18,28 @@ CELL = ("level", "i", "j", "k")
 
 @dataclass(frozen=True)
 class Mesh:
-    """A cell table over a hierarchy."""
+    """A cell table over a hierarchy. load: the table with these stored fields only, where the source can't prune by itself."""
 
     cells: DataFrame
     hierarchy: Hierarchy
     fields: tuple[str, ...] = field(default=())
+    load: Callable[[Sequence[str]], DataFrame] | None = field(default=None, compare=False)
 
     def with_field(self, name: str, value: Column) -> Mesh:
-        return Mesh(self.cells.withColumn(name, value), self.hierarchy, (*self.fields, name))
+        return self.with_fields({name: value})
+
+    def with_fields(self, values: dict[str, Column]) -> Mesh:
+        """The mesh with more fields. A source that can't prune by itself is asked for the fields that these are made of."""
+        cells = self.cells
+        if self.load is not None:
+            used = cells.select(*values.values())._jdf.queryExecution().analyzed().references().toSeq()
+            names = {used.apply(i).name() for i in range(used.size())}
+            cells = self.load([f for f in self.fields if f in names])
+        return Mesh(cells.withColumns(values), self.hierarchy, (*self.fields, *values))
+
+    def only(self, *names: str) -> DataFrame:
+        """The cells with these fields at least."""
+        return self.cells if self.load is None or not set(names) <= set(self.fields) else self.load(names)
 
     def leaves(self, cells: DataFrame | None = None) -> DataFrame:
         """The cells that no finer level covers."""
@@ -54,15 +70,37 @@ def spread(rows: DataFrame, lo: str, hi: str, origin: float, width: float, n: in
     return out.withColumn(overlap, right - left).where(F.col(overlap) > 0)
 
 
-def _plane_cells(mesh: Mesh, axis: int, keep: Column, rect: Sequence[float], values: dict[str, Column]) -> DataFrame:
-    """Uncovered cells of a plane or slab that touch rect, with their in-plane edges."""
+#: Blocks of a level up to which a window names them; beyond, their cells' indices alone prune.
+NAMED_BLOCKS = 1000
+
+
+def _window(h: Hierarchy, cells: DataFrame, axis: int, layers: dict[int, tuple[int, int]], rect: Sequence[float] | None) -> DataFrame:
+    """The cells of each level's layers that may touch rect, by literal ranges that reach the scan."""
+    own = h.window(axis, layers, rect)
+    if not own:
+        return cells.where(F.lit(False))
+    keep, blocks = [], set()
+    for level, (ranges, hit) in own.items():
+        part = [F.col("level") == level]
+        part += [F.col(n) == a if a == b else F.col(n).between(a, b) for n, (a, b) in zip("ijk", ranges, strict=True)]
+        keep.append(functools.reduce(operator.and_, part))
+        blocks.update(hit)
+    # conjuncts of their own for sources that take no alternatives
+    cells = cells.where(F.col("level").isin(sorted(own)))
+    if "block" in cells.columns and len(blocks) <= NAMED_BLOCKS:
+        cells = cells.where(F.col("block").isin(sorted(blocks)))
+    for a, n in enumerate("ijk"):
+        cells = cells.where(F.col(n).between(min(r[a][0] for r, _ in own.values()), max(r[a][1] for r, _ in own.values())))
+    return cells.where(functools.reduce(operator.or_, keep))
+
+
+def _plane_cells(mesh: Mesh, axis: int, layers: dict[int, tuple[int, int]], rect: Sequence[float], name: str, value: Column) -> DataFrame:
+    """Uncovered cells of a plane or slab that may touch rect, with their in-plane edges."""
     h = mesh.hierarchy
     u, v = plane_axes(axis)
-    cells = mesh.cells.where(keep)
-    for w, lo, hi in ((u, rect[0], rect[2]), (v, rect[1], rect[3])):
-        cells = cells.where((h.edge(w, "ijk"[w]) < hi) & (h.edge(w, F.col("ijk"[w]) + 1) > lo))
+    cells = _window(h, mesh.only(name), axis, layers, rect)
     edges = {f"{n}{s}": h.edge(w, F.col("ijk"[w]) + k) for n, w in (("u", u), ("v", v)) for s, k in (("0", 0), ("1", 1))}
-    return mesh.leaves(cells.select(*CELL, *[c.alias(n) for n, c in values.items()])).withColumns(edges)
+    return mesh.leaves(cells.select(*CELL, value.alias("x"))).withColumns(edges)
 
 
 def _rect(rect: Sequence[float], resolution: tuple[int, int]) -> tuple[tuple[float, float, float, float], float, float]:
@@ -81,8 +119,7 @@ def slice_plane(mesh: Mesh, name: str, axis: str | int, coord: float, rect: Sequ
     a = axis_index(axis)
     rect, du, dv = _rect(rect, resolution)
     planes = mesh.hierarchy.plane_index(a, coord)
-    keep = F.col("ijk"[a]) == mesh.hierarchy.per_level(lambda x: planes[x.level])
-    rows = _plane_cells(mesh, a, keep, rect, {"x": F.col(name).cast("double")})
+    rows = _plane_cells(mesh, a, {n: (k, k) for n, k in planes.items()}, rect, name, F.col(name).cast("double"))
     rows = spread(spread(rows, "u0", "u1", rect[0], du, resolution[0], "px", "ou"), "v0", "v1", rect[1], dv, resolution[1], "py", "ov")
     area = F.col("ou") * F.col("ov")
     sums = rows.groupBy("py", "px").agg(F.sum(F.col("x") * area).alias("s"), F.sum(area).alias("a"))
@@ -93,7 +130,8 @@ def slice_plane(mesh: Mesh, name: str, axis: str | int, coord: float, rect: Sequ
 def slice_nearest(mesh: Mesh, name: str, axis: str | int, coord: float, rect: Sequence[float], resolution: tuple[int, int]) -> DataFrame:
     """(py, px, value): the finest uncovered cell at each pixel's centre; NaN outside the data."""
     a = axis_index(axis)
-    (u0, v0, _, _), du, dv = _rect(rect, resolution)
+    rect, du, dv = _rect(rect, resolution)
+    u0, v0, _, _ = rect
     u, v = plane_axes(a)
     h = mesh.hierarchy
     planes = h.plane_index(a, coord)
@@ -103,8 +141,7 @@ def slice_nearest(mesh: Mesh, name: str, axis: str | int, coord: float, rect: Se
         at = {w: F.floor((o + (F.col(p) + 0.5) * d - x.x0[w]) / x.dx[w]).cast("int") + x.origin[w] for w, o, p, d in ((u, u0, "px", du), (v, v0, "py", dv))}
         own = grid.select("py", "px", F.lit(x.level).alias("level"), at[u].alias("ijk"[u]), at[v].alias("ijk"[v]), F.lit(planes[x.level]).alias("ijk"[a]))
         points = own if points is None else points.unionByName(own)
-    keep = F.col("ijk"[a]) == h.per_level(lambda x: planes[x.level])
-    cells = mesh.cells.where(keep).select(*CELL, F.col(name).cast("double").alias("value"))
+    cells = _window(h, mesh.only(name), a, {n: (k, k) for n, k in planes.items()}, rect).select(*CELL, F.col(name).cast("double").alias("value"))
     best = points.join(cells, list(CELL)).groupBy("py", "px").agg(F.max_by("value", "level").alias("value"))
     return grid.join(best, ["py", "px"], "left").select("py", "px", F.coalesce("value", F.lit(ieee.NAN)).alias("value"))
 
@@ -117,7 +154,8 @@ def project(mesh: Mesh, name: str, axis: str | int, bounds: tuple[float, float],
     h, n = mesh.hierarchy, "ijk"[a]
     low, high = h.edge(a, n), h.edge(a, F.col(n) + 1)
     depth = F.least(high, F.lit(hi)) - F.greatest(low, F.lit(lo))
-    rows = _plane_cells(mesh, a, (high > lo) & (low < hi), rect, {"x": F.col(name).cast("double") * depth})
+    layers = {x.level: (x.index(a, lo) - 1, x.index(a, hi) + 1) for x in h.levels}
+    rows = _plane_cells(mesh, a, layers, rect, name, F.when((high > lo) & (low < hi), F.col(name).cast("double") * depth)).where("x is not null")
     # cells of a column of one level share their pixels: summed before they spread
     rows = rows.groupBy("u0", "u1", "v0", "v1").agg(F.sum("x").alias("x"))
     rows = spread(spread(rows, "u0", "u1", rect[0], du, resolution[0], "px", "ou"), "v0", "v1", rect[1], dv, resolution[1], "py", "ov")
@@ -145,6 +183,17 @@ def histogram(rows: DataFrame, value: Column, bins: int, bounds: tuple[float, fl
     return all_bins(rows.sparkSession, rows.groupBy("bin").agg(F.sum("w").alias("count")), {"bin": bins})
 
 
+def histograms(rows: DataFrame, specs: Sequence[tuple[Column, int, tuple[float, float], Column | None]]) -> DataFrame:
+    """(which, bin, count) of several (value, bins, bounds, weight) in one pass over the rows; bins without a value are absent."""
+    parts = []
+    for n, (value, bins, bounds, weight) in enumerate(specs):
+        lo, hi = _bounds(bounds, bins)
+        w = F.lit(1.0) if weight is None else weight.cast("double")
+        parts.append(F.struct(F.lit(n).alias("which"), ieee.uniform_bin(value, lo, hi, bins).alias("bin"), w.alias("w")))
+    each = rows.select(F.explode(F.array(*parts)).alias("h")).select("h.*").where(F.col("bin").isNotNull() & ieee.isfinite(F.col("w")))
+    return each.groupBy("which", "bin").agg(F.sum("w").alias("count"))
+
+
 def histogram2d(rows: DataFrame, x: Column, y: Column, bins: tuple[int, int], bounds: tuple[tuple[float, float], tuple[float, float]], weight: Column | None = None) -> DataFrame:
     """(xbin, ybin, count double)."""
     (x0, x1), (y0, y1) = (_bounds(b, n) for b, n in zip(bounds, bins, strict=True))

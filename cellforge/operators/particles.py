@@ -46,8 +46,8 @@ def zip_columns(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(right, ["chunk", "pidx"])
 
 
-def summary(rows: DataFrame, x: Column, mask: Column | None = None, finite_only: bool = True) -> DataFrame:
-    """One row of sum, len, count (of the mask), mean, min and max; of none: 0, 0, 0, null, +inf, -inf.
+def aggregates(x: Column, mask: Column | None = None, finite_only: bool = True) -> dict[str, Column]:
+    """sum, len, count (of the mask), mean, min and max; of no rows: 0, 0, 0, null, +inf, -inf.
 
     finite_only=False lets infinities into min and max; NaN never is.
     """
@@ -55,10 +55,13 @@ def summary(rows: DataFrame, x: Column, mask: Column | None = None, finite_only:
     ok = ieee.isfinite(x) if finite_only else ~F.isnan(x)
     m = F.lit(True) if mask is None else mask
     own = F.when(ok, x)
-    return rows.agg(
-        ieee.finite_sum(x).alias("sum"), F.count("*").alias("len"), F.count_if(m).alias("count"), F.avg(x).alias("mean"),
-        F.coalesce(F.min(own), F.lit(ieee.INF)).alias("min"), F.coalesce(F.max(own), F.lit(-ieee.INF)).alias("max"),
-    )
+    low, high = F.coalesce(F.min(own), F.lit(ieee.INF)), F.coalesce(F.max(own), F.lit(-ieee.INF))
+    return {"sum": ieee.finite_sum(x), "len": F.count("*"), "count": F.count_if(m), "mean": F.avg(x), "min": low, "max": high}
+
+
+def summary(rows: DataFrame, x: Column, mask: Column | None = None, finite_only: bool = True) -> DataFrame:
+    """One row of the aggregates()."""
+    return rows.agg(*[c.alias(n) for n, c in aggregates(x, mask, finite_only).items()])
 
 
 def histogram_edges(rows: DataFrame, x: Column, edges: Sequence[float], weight: Column | None = None, density: bool = False) -> DataFrame:

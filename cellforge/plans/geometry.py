@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -116,6 +117,57 @@ class Hierarchy:
                 out.append(b)
         return out
 
+    def window(self, axis: int, layers: dict[int, tuple[int, int]], rect: Sequence[float] | None = None) -> dict[int, tuple[list[tuple[int, int]], list[int]]]:
+        """By level, the inclusive index ranges of the cells in these layers that may touch rect, and the blocks that hold any.
+
+        In the plane a cell more is taken on each side, so that rounding leaves out none; levels without a block are absent.
+        """
+        out = {}
+        for x in self.levels:
+            ranges = [(0, 0)] * 3
+            ranges[axis] = layers[x.level]
+            own = [b for b in self.on(x.level)]
+            for i, a in enumerate(plane_axes(axis)):
+                if rect is None:
+                    ranges[a] = (min((b.lo[a] for b in own), default=0), max((b.hi[a] for b in own), default=0))
+                else:
+                    ends = sorted((x.index(a, rect[i]), x.index(a, rect[i + 2])))
+                    ranges[a] = (ends[0] - 1, ends[1] + 1)
+            hit = [b.block for b in own if all(b.lo[a] <= ranges[a][1] and b.hi[a] >= ranges[a][0] for a in range(3))]
+            if hit:
+                out[x.level] = (ranges, hit)
+        return out
+
+    def adjacent(self, spark: SparkSession) -> DataFrame:
+        """(level, block, other, axis, side): blocks of one level that share part of a face, periodic axes closed.
+
+        side 1: the other block is at the upper end of the axis. An equi-join on the plane between them and on tiles of the
+        plane's two axes, then by bounds, so that its rows grow with the faces.
+        """
+        size = max((h - a + 1 for b in self.blocks for a, h in zip(b.lo, b.hi, strict=True)), default=1)
+        blocks = self.blocks_frame(spark).drop("step")
+        parts = []
+        for a in range(3):
+            u, v = plane_axes(a)
+            spans = {x.level: (min(b.lo[a] for b in self.on(x.level)), max(b.hi[a] for b in self.on(x.level)) + 1) for x in self.levels if x.periodic[a] and self.on(x.level)}
+            face = F.col(f"hi{a}") + 1
+            for level, (lo, hi) in spans.items():
+                face = F.when((F.col("level") == level) & (F.col(f"hi{a}") + 1 == hi), F.lit(lo)).otherwise(face)
+
+            def tiles(rows: DataFrame, names: Sequence[str], u=u, v=v) -> DataFrame:
+                for w, n in zip((u, v), names, strict=True):
+                    rows = rows.withColumn(n, F.explode(F.sequence(F.floor(F.col(f"lo{w}") / size), F.floor(F.col(f"hi{w}") / size))))
+                return rows
+
+            upper = tiles(blocks.withColumn("face", face), ("tu", "tv"))
+            lower = tiles(blocks.withColumn("face", F.col(f"lo{a}")), ("tu", "tv"))
+            lower = lower.select("level", "face", "tu", "tv", F.col("block").alias("other"), *[F.col(f"{e}{w}").alias(f"o{e}{w}") for e in ("lo", "hi") for w in (u, v)])
+            meet = (F.col(f"lo{u}") <= F.col(f"ohi{u}")) & (F.col(f"hi{u}") >= F.col(f"olo{u}")) & (F.col(f"lo{v}") <= F.col(f"ohi{v}")) & (F.col(f"hi{v}") >= F.col(f"olo{v}"))
+            pairs = upper.join(lower, ["level", "face", "tu", "tv"]).where(meet).select("level", "block", "other").distinct()
+            parts.append(pairs.select("level", "block", "other", F.lit(a).alias("axis"), F.lit(1).alias("side")))
+            parts.append(pairs.select("level", F.col("other").alias("block"), F.col("block").alias("other"), F.lit(a).alias("axis"), F.lit(0).alias("side")))
+        return functools.reduce(DataFrame.unionAll, parts)
+
     def _touches(self, b: Block, axis: int, rect: Sequence[float] | None) -> bool:
         if rect is None:
             return True

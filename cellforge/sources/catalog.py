@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import difflib
 import os
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cellforge.operators.mesh import Mesh
 from cellforge.plans.geometry import Block, Hierarchy, Level
@@ -19,19 +21,32 @@ class ReadOnlyError(RuntimeError):
 
 
 class MemoryStore:
-    """Chunks by (field, level, block), for tests and small inputs: NumPy arrays in (i, j, k) order."""
+    """Chunks by (field, level, block), for tests and small inputs: NumPy arrays in (i, j, k) order, or opaque bytes."""
 
-    def __init__(self):
-        self.chunks: dict[tuple[str, int, int], np.ndarray] = {}
+    def __init__(self, read_only: bool = False):
+        self.chunks: dict[tuple[str, int, int], np.ndarray | bytes] = {}
+        self.read_only = read_only
+
+    def freeze(self) -> MemoryStore:
+        self.read_only = True
+        return self
 
     def set_chunk(self, field: str, level: int, block: int, data, dtype=None, shape=None) -> None:
+        """Raw bytes need a dtype and a shape, or the dtype "opaque", which keeps them as they are."""
+        if self.read_only:
+            raise ReadOnlyError("the store is read-only")
         if isinstance(data, bytes | bytearray | memoryview):
+            if dtype == "opaque":
+                self.chunks[field, level, block] = bytes(data)
+                return
             if dtype is None or shape is None:
                 raise ValueError("raw bytes need a dtype and a shape")
             data = np.frombuffer(data, dtype).reshape(shape)
+        elif dtype == "opaque":
+            raise TypeError("opaque chunks are bytes")
         self.chunks[field, level, block] = np.asarray(data)
 
-    def get_chunk(self, field: str, level: int, block: int) -> np.ndarray:
+    def get_chunk(self, field: str, level: int, block: int) -> np.ndarray | bytes:
         return self.chunks[field, level, block]
 
 
@@ -56,15 +71,31 @@ def mesh_from_numpy(spark: SparkSession, hierarchy: Hierarchy, fields: dict[str,
 
 
 def mesh_from_store(spark: SparkSession, hierarchy: Hierarchy, store: MemoryStore) -> Mesh:
-    names = sorted({f for f, _, _ in store.chunks})
+    names = sorted({f for (f, _, _), data in store.chunks.items() if not isinstance(data, bytes)})
     return mesh_from_numpy(spark, hierarchy, {n: {(lv, b): d for (f, lv, b), d in store.chunks.items() if f == n} for n in names})
 
 
-def mesh_from_plotfile(spark: SparkSession, path: str, step: int = 0) -> Mesh:
+def mesh_from_plotfile(spark: SparkSession, path: str, step: int = 0, periodic: tuple[bool, bool, bool] | None = None) -> Mesh:
+    """A mesh that reads the bytes of asked fields only. Plotfiles don't tell whether axes are periodic; `periodic` does."""
     plotfile.register(spark)
     reader = plotfile.PlotfileReader(path)
-    cells = spark.read.format("amr_plotfile").option("step", step).load(path)
-    return Mesh(cells, reader.hierarchy(), reader.header.names)
+    names = reader.header.names
+    own = plotfile.PlotfileDataSource({"path": path}).schema()
+
+    def load(fields=names):
+        schema = StructType([f for f in own.fields if f.name not in names or f.name in fields])
+        return spark.read.format("amr_plotfile").schema(schema).option("step", step).load(path)
+
+    return Mesh(load(), with_periods(reader.hierarchy(), periodic), names, load)
+
+
+def with_periods(h: Hierarchy, periodic: tuple[bool, bool, bool] | None) -> Hierarchy:
+    """The hierarchy with these axes periodic on all levels; as it is if None."""
+    if periodic is None:
+        return h
+    if len(periodic) != 3 or not all(isinstance(p, bool) for p in periodic):
+        raise ValueError("periodic must be three booleans")
+    return Hierarchy(tuple(replace(x, periodic=tuple(periodic)) for x in h.levels), h.blocks)
 
 
 def particles_from_plotfile(spark: SparkSession, path: str, species: str, step: int = 0) -> DataFrame:
@@ -72,7 +103,7 @@ def particles_from_plotfile(spark: SparkSession, path: str, species: str, step:
     return spark.read.format("amr_plotfile").option("particles", species).option("step", step).load(path)
 
 
-def mesh_from_tables(spark: SparkSession, path: str, step: int = 0) -> Mesh:
+def mesh_from_tables(spark: SparkSession, path: str, step: int = 0, periodic: tuple[bool, bool, bool] | None = None) -> Mesh:
     """A mesh from the tables levels, blocks and cells of one folder; cells may be partitioned by step and level."""
     levels = spark.read.parquet(f"{path}/levels").where(F.col("step") == step).orderBy("level").collect()
     blocks = spark.read.parquet(f"{path}/blocks").where(F.col("step") == step).orderBy("level", "block").collect()
@@ -81,7 +112,7 @@ def mesh_from_tables(spark: SparkSession, path: str, step: int = 0) -> Mesh:
         tuple(Block(r.level, r.block, (r.lo0, r.lo1, r.lo2), (r.hi0, r.hi1, r.hi2)) for r in blocks),
     )
     cells = spark.read.parquet(f"{path}/cells").where(F.col("step") == step)
-    return Mesh(cells, h, tuple(c for c in cells.columns if c not in ("step", "level", "block", "i", "j", "k")))
+    return Mesh(cells, with_periods(h, periodic), tuple(c for c in cells.columns if c not in ("step", "level", "block", "i", "j", "k")))
 
 
 def write_tables(mesh: Mesh, path: str, step: int = 0, mode: str = "errorifexists") -> None:

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from cellforge.plans.geometry import Block, Hierarchy, Level
@@ -244,7 +244,8 @@ class _Part(InputPartition):
 class PlotfileDataSource(DataSource):
     """Format "amr_plotfile": cells of the plotfile at option `path`, or with option `particles` those of a species.
 
-    A schema given to the reader prunes: only its fields' bytes are read. The path must be one that executors can open.
+    A schema given to the reader prunes: only its fields' bytes are read; so do filters of levels, blocks and indices, FAB by
+    FAB. The path must be one that executors can open.
     """
 
     @classmethod
@@ -265,11 +266,35 @@ class PlotfileDataSource(DataSource):
 class _Reader(DataSourceReader):
     def __init__(self, path: str, species: str | None, step: int, schema: StructType):
         self.path, self.species, self.step, self.schema = path, species, step, schema
+        self.filters: list = []
+
+    def pushFilters(self, filters):
+        """Takes note of ranges of the cells' indices, levels and blocks, by which whole FABs are left out; Spark still applies them."""
+        kinds = (EqualTo, In, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)
+        self.filters = [f for f in filters if self.species is None and isinstance(f, kinds) and f.attribute in (("level",), ("block",), ("i",), ("j",), ("k",))]
+        return filters
+
+    def wanted(self, fab: Fab) -> bool:
+        """Whether any of a FAB's cells can pass the filters."""
+        ranges = {"level": (fab.level, fab.level), "block": (fab.block, fab.block)} | {n: (a, b) for n, a, b in zip("ijk", fab.lo, fab.hi, strict=True)}
+        for f in self.filters:
+            lo, hi = ranges[f.attribute[0]]
+            if isinstance(f, In):
+                ok = any(v is not None and lo <= v <= hi for v in f.value)
+            elif isinstance(f, EqualTo):
+                ok = lo <= f.value <= hi
+            elif isinstance(f, GreaterThan | GreaterThanOrEqual):
+                ok = hi > f.value or isinstance(f, GreaterThanOrEqual) and hi == f.value
+            else:
+                ok = lo < f.value or isinstance(f, LessThanOrEqual) and lo == f.value
+            if not ok:
+                return False
+        return True
 
     def partitions(self):
         if self.species is None:
             header = read_header(self.path)
-            return [_Part(f, header.names) for f in read_fabs(self.path, header)]
+            return [_Part(f, header.names) for f in read_fabs(self.path, header) if self.wanted(f)] or [_Part(None, None)]
         s = read_species(self.path, self.species)
         return [_Part(g, s) for g in s.grids if g.count] or [_Part(None, None)]
 
@@ -296,4 +321,5 @@ class _Reader(DataSourceReader):
 
 
 def register(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", True)
     spark.dataSource.register(PlotfileDataSource)

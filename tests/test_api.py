@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import cellforge as cf
-from cellforge.sources.catalog import MemoryStore
+from cellforge.sources.catalog import MemoryStore, ReadOnlyError
 
 
 @pytest.fixture(scope="module")
@@ -105,6 +105,42 @@ def test_particles(ds):
     assert [(c, a.tolist()) for c, a in fine.iter_chunks()] == [(0, [1, 2, 2])]
 
 
+def test_compute_shares_passes(ds, spark):
+    """Numbers of one species and histograms of one hierarchy take a job each, whatever their number."""
+    m = ds.particle_species("stars")["mass"]
+    fine = m[m.isfinite()]
+    a, b = ds["rho"].histogram(4, (0, 16)), (ds["rho"] * 2).histogram(3, (0, 30), weights=ds["rho"])
+    with cf.Progress(spark) as progress:
+        total, h1, n, h2, high = cf.compute(fine.sum(), a, fine.count(), b, fine.max())
+    assert (total, n, high) == (5, 3, 2)
+    for one, alone in ((h1, a.compute()), (h2, b.compute())):
+        assert all(np.array_equal(one[k], alone[k]) for k in alone)
+    report = progress.report()
+    assert report["jobs"] >= 1 and 0 < report["done"] <= report["tasks"] and not report["failed"]  # stages that others' output serves are skipped
+
+
+def test_steps_and_derived_fields(ds, spark, tmp_path):
+    from tests.test_sources import write_plotfile
+
+    stored = cf.open_dataset(spark, write_plotfile(tmp_path / "plt"), periodic=(True, False, False))
+    assert [x.periodic for x in stored.mesh.hierarchy.levels] == [(True, False, False)]
+    stored.register_derived_field("twice", lambda d: d["rho"] * 2)
+    later = stored.select(step=4)
+    assert later["twice"].frame().count() == 12 and {r.step for r in later.particle_species("stars").rows.collect()} == {4}
+    with pytest.raises(ValueError):
+        ds.select(step=1)
+
+
+def test_stores(spark):
+    store = MemoryStore()
+    store.set_chunk("note", 0, 0, b"any bytes", dtype="opaque")
+    assert store.get_chunk("note", 0, 0) == b"any bytes"
+    with pytest.raises(TypeError):
+        store.set_chunk("note", 0, 0, np.zeros(2), dtype="opaque")
+    with pytest.raises(ReadOnlyError):
+        store.freeze().set_chunk("rho", 0, 0, np.zeros((1, 1, 1)))
+
+
 def test_config():
     with cf.config.set({"reduction.fan_in": 4}):
         assert cf.config.get("reduction.fan_in") == 4
