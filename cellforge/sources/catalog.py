@@ -9,11 +9,11 @@ from dataclasses import replace
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from cellforge.operators.mesh import Mesh
 from cellforge.plans.geometry import Block, Hierarchy, Level
-from cellforge.sources import plotfile
+from cellforge.sources import parthenon, plotfile
 
 
 class ReadOnlyError(RuntimeError):
@@ -98,6 +98,20 @@ def with_periods(h: Hierarchy, periodic: tuple[bool, bool, bool] | None) -> Hier
     return Hierarchy(tuple(replace(x, periodic=tuple(periodic)) for x in h.levels), h.blocks)
 
 
+def mesh_from_parthenon(spark: SparkSession, path: str, step: int = 0, periodic: tuple[bool, bool, bool] | None = None) -> Mesh:
+    """A mesh of a Parthenon dump, of the bytes of asked fields only."""
+    layout = parthenon.read_layout(path)
+    parthenon.register(spark)
+    names = tuple(layout.fields)
+    own = [*plotfile.CELL_FIELDS, *[StructField(n, DoubleType()) for n in names]]
+
+    def load(fields=names):
+        schema = StructType([f for f in own if f.name not in names or f.name in fields])
+        return spark.read.format("parthenon").schema(schema).option("step", step).load(path)
+
+    return Mesh(load(), with_periods(layout.hierarchy, periodic), names, load)
+
+
 def particles_from_plotfile(spark: SparkSession, path: str, species: str, step: int = 0) -> DataFrame:
     plotfile.register(spark)
     return spark.read.format("amr_plotfile").option("particles", species).option("step", step).load(path)
@@ -131,7 +145,7 @@ def _missing(kind: str, library: str):
     return fail
 
 
-OPENERS = {"amrex": mesh_from_plotfile, "tables": mesh_from_tables, "parthenon": _missing("Parthenon", "h5py"), "openpmd": _missing("openPMD", "openpmd_api")}
+OPENERS = {"amrex": mesh_from_plotfile, "tables": mesh_from_tables, "parthenon": mesh_from_parthenon, "openpmd": _missing("openPMD", "openpmd_api")}
 
 
 def kind_of(uri: str) -> tuple[str, str]:
