@@ -155,16 +155,6 @@ def _upper(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(32)).astype(np.uint32)
 
 
-def _slices(texts: list[str | None], most: int = 1 << 20):
-    """Ranges of texts of about `most` characters, so that few words are in memory at a time."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= most or i + 1 == len(texts):
-            yield start, i + 1
-            start, size = i + 1, 0
-
-
 def find(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, hashes: int = HASHES, block: int = ITEMS_PER_BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, containment) of documents that hold `threshold` of an item's distinct k-word shingles.
 
@@ -180,14 +170,14 @@ def find(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, threshold: flo
             for b in batches:
                 out = [[], [], []]
                 docs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-                for x, y in _slices(texts):
+                for x, y in common.slices(texts):
                     for doc, found in zip(docs[x:y], own.matches(texts[x:y]), strict=True):
                         for i, share in found:
                             for o, v in zip(out, (doc, names[i], share), strict=True):
                                 o.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["doc_id", "item_id", "containment"])
 
-        parts.append(rows.mapInArrow(run, ddl))
+        parts.append(common.map_arrow(rows, run, ddl))
     if not parts:
         return rows.sparkSession.createDataFrame([], ddl)
     out = parts[0]
@@ -210,9 +200,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, threshold: fl
         def run(batches, index=index):
             for b in batches:
                 texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
-                yield b.filter(pa.array([not found for x, y in _slices(texts) for found in index.value[1].matches(texts[x:y])], pa.bool_()))
+                yield b.filter(pa.array([not found for x, y in common.slices(texts) for found in index.value[1].matches(texts[x:y])], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = common.map_arrow(docs, run, docs.schema)
     return docs
 
 

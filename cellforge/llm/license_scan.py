@@ -171,7 +171,8 @@ def _scanner(templates: tuple[tuple[str, str], ...]) -> Scanner:
 def blocks(text: str, triggers: tuple[str, ...] = TRIGGERS, reach: int = REACH):
     """(start, end) of the text around triggers, line feeds or not: `reach` characters on each side.
 
-    White space and comment marks may stand between the words of a trigger as in a notice.    """
+    White space and comment marks may stand between the words of a trigger as in a notice.
+    """
     low = text.lower()
     if len(low) != len(text):  # a few letters change length in lower case; offsets must hold
         low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
@@ -207,7 +208,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
             yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], names=["doc_id", "start", "end", "license", "reduction", "missing_words"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, start long, end long, license string, reduction double, missing_words long")
+    return common.map_arrow(rows, run, "doc_id long, start long, end long, license string, reduction double, missing_words long")
 
 
 def op4_license(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,14 +37,15 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc_id, fp long) for every row of docs."""
+    """(doc_id, key, fp long) for every row of docs; key: XXH64 of the text."""
 
     def run(batches):
         for b in batches:
-            fp = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            fp = np.array([fingerprint(t, shingle) for t in b.column(2).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], names=["doc_id", "key", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    return common.map_arrow(rows, run, "doc_id long, key long, fp long")
 
 
 def _near(u: np.ndarray, v: np.ndarray, radius: int):
@@ -130,6 +131,50 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = 3) -> DataFrame:
+    """docs with one row of each group of near duplicates: that of the smallest doc_id, then of the least hash of its text.
+
+    Rows are told apart by doc_id and text, so rows that repeat a doc_id with other texts are rows of their own; of rows that
+    repeat both, the least in order of their columns stays. Null doc_ids come last. Null and empty texts are one group, and no
+    rows give none. Columns stay as they are, whatever their names.
+    """
+    fps = common.cut(fingerprints(docs, id_col, text_col, shingle), "fps")
+    # a fingerprint is its own class's name here
+    classes = common.cut(fps.select("fp", F.col("fp").alias("rep")).distinct(), "classes")
+    found = common.components(links(classes, radius))
+    named = fps.join(found, fps["fp"] == found["node"], "left").select("doc_id", "key", F.coalesce("component", "fp").alias("c"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    best = named.groupBy("c").agg(F.min(order).alias("o")).select(F.col("c").alias("b"), "o.*")
+    best = best.select("b", F.col("doc_id").alias("b_doc"), F.col("key").alias("b_key"))
+    gone = named.join(best, named["c"] == best["b"]).where(~(F.col("doc_id").eqNullSafe(F.col("b_doc")) & (F.col("key") == F.col("b_key"))))
+    gone = common.cut(gone.select("doc_id", "key").distinct(), "gone")
+    again = fps.groupBy("doc_id", "key").count().where("count > 1").select("doc_id", "key")
+    again = common.cut(_without(again, gone, "doc_id", F.col("key")), "again")
+    common.drop(classes)
+    text = F.xxhash64(text_col)
+    docs = _without(docs, gone, id_col, text)
+    if again.isEmpty():
+        return docs
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    some = _matched(docs, again, id_col, text, "left_semi").groupBy(F.col(id_col).alias("i"), text.alias("k")).agg(F.min(row).alias("r")).select("r.*")
+    return _without(docs, again, id_col, text).unionAll(some)
+
+
+#: Bytes of two longs and a row's overhead, and those of a join's small side up to which it is broadcast.
+_PAIR_BYTES, BROADCAST_BYTES = 64, 32 << 20
+
+
+def _matched(docs: DataFrame, pairs: DataFrame, id_col: str, text, how: str) -> DataFrame:
+    o = pairs.select(F.col("doc_id").alias("o_doc"), F.col("key").alias("o_key"))
+    o = F.broadcast(o) if pairs.count() * _PAIR_BYTES <= BROADCAST_BYTES else o
+    return docs.join(o, docs[id_col].cast("long").eqNullSafe(o["o_doc"]) & (text == o["o_key"]), how)
+
+
+def _without(docs: DataFrame, pairs: DataFrame, id_col: str, text) -> DataFrame:
+    """docs without the rows of these (doc_id, hash of the text)."""
+    return _matched(docs, pairs, id_col, text, "left_anti")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(common.table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
