@@ -12,78 +12,100 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cellforge.llm import common
 
-# Seed words of the grammar's classes.
-INSULTS = ["idiot", "moron", "stupid", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "clown", "imbecile", "dumb", "vermin", "filth"]
-THREATS = ["kill", "hurt", "destroy", "beat", "stab", "shoot", "burn", "crush", "strangle", "murder"]
-TARGETS = ["you", "your", "youre", "u", "he", "she", "they", "them", "him", "her", "these", "those", "people"]
-NEGATIONS = ["not", "no", "never", "isnt", "arent", "wasnt", "dont", "doesnt", "without", "nobody"]
-REPORTS = ["said", "says", "told", "wrote", "claims", "claimed", "called", "quoted", "reported", "according"]
-INTENTS = ["will", "shall", "gonna", "should", "ll", "must"]
+# Seed words of the grammar's classes, in English, German, French and Spanish.
+INSULTS = ["idiot", "moron", "stupid", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "clown", "imbecile", "dumb", "vermin", "filth", "trottel", "dummkopf", "abschaum", "versager", "widerlich", "wertlos", "crétin", "imbécile", "débile", "minable", "ordure", "abruti", "idiota", "imbécil", "estúpido", "estúpida", "basura", "escoria", "asqueroso", "asquerosa"]
+THREATS = ["kill", "hurt", "destroy", "beat", "stab", "shoot", "burn", "crush", "strangle", "murder", "töten", "umbringen", "verletzen", "schlagen", "erschießen", "verbrennen", "tuer", "frapper", "détruire", "poignarder", "brûler", "étrangler", "matar", "golpear", "destruir", "apuñalar", "quemar", "estrangular"]
+TARGETS = ["you", "your", "youre", "u", "he", "she", "they", "them", "him", "her", "these", "those", "people", "du", "dich", "dir", "ihr", "euch", "sie", "tu", "te", "toi", "vous", "ils", "elles", "tú", "ti", "usted", "ustedes", "ellos", "ellas"]
+NEGATIONS = ["not", "no", "never", "isnt", "arent", "wasnt", "dont", "doesnt", "without", "nobody", "nicht", "kein", "keine", "nie", "ohne", "pas", "jamais", "sans", "nunca", "sin"]
+REPORTS = ["said", "says", "told", "wrote", "claims", "claimed", "called", "quoted", "reported", "according", "sagte", "sagt", "schrieb", "behauptet", "laut", "dit", "écrit", "selon", "affirme", "dijo", "dice", "escribió", "según", "afirma"]
+INTENTS = ["will", "shall", "gonna", "should", "ll", "must", "werde", "werden", "soll", "sollte", "muss", "vais", "va", "dois", "doit", "voy", "vamos", "debe", "deben"]
+DEGREES = ["so", "such", "complete", "total", "utter", "very", "really", "damn", "völlig", "total", "sehr", "tellement", "vraiment", "totalement", "muy", "tan", "completamente"]
 SEED_WEIGHT = 4.0
-FACTORS = {"negated": 0.25, "reported": 0.5, "targeted": 1.25, "intended": 2.0}
+FACTORS = {"negated": 0.25, "reported": 0.5, "targeted": 1.25, "stressed": 1.25, "chained": 1.1, "struck": 2.5}
 
-#: Bounds of the labelled sample that the lexicon and the calibration are fitted on, and of the lexicon.
+#: Bounds of the labelled sample that the lexicon and the calibration are fitted on, on average, and of the lexicon.
 MAX_TOXIC, MAX_CLEAN, MAX_LEXICON = 4000, 8000, 5000
 
 _WORD = re.compile(r"[^\W\d_]+")
 _CLAUSE = re.compile(r"[.!?;:\n]+")
+_ELIDED = re.compile(r"['\u2019](?=(?:s|t|m|d|re|ve|ll)\b)")
 _PREFIX = range(3, 8)
 
+KINDS = {"target": TARGETS, "negation": NEGATIONS, "report": REPORTS, "intent": INTENTS, "degree": DEGREES, "threat": THREATS}
 
-@dataclass(frozen=True)
-class Transducer:
-    """A deterministic letter-to-letter transducer; a letter is (class, marks)."""
 
-    step: dict  # (state, class) -> (state, mark or "")
-    start: int = 0
+def plain(text: str | None) -> str:
+    """Lower case, with the apostrophes of contractions dropped: you're is one word, l'idiot two."""
+    text = (text or "").lower()
+    return _ELIDED.sub("", text) if "'" in text or "\u2019" in text else text
 
-    def __call__(self, state, letter):
-        kind, marks = letter
-        state, mark = self.step.get((state, kind), self.step[state, "other"])
-        return state, (kind, marks | {mark} if mark else marks)
 
+# ---- the grammar -------------------------------------------------------------------------------------------------------
+# A letter is a word's class and the marks that machines have written on it; a machine maps (state, class, marks) to (state,
+# marks to add). The first two accept insults and threats; those behind them read what these write.
 
-def window(trigger: str, span: int, mark: str, marked: tuple[str, ...]) -> Transducer:
-    """Marks the given classes for `span` words after a trigger, within a clause."""
-    step = {}
-    for left in range(span + 1):
-        low = max(0, left - 1)
-        step[left, "other"] = (low, "")
-        step[left, "end"] = (0, "")
-        step[left, trigger] = (span, mark if left and trigger in marked else "")
-        for kind in marked:
-            if kind != trigger:
-                step[left, kind] = (low, mark if left else "")
-    return Transducer(step)
 
+def insult_machine(state, kind, marks):
+    """Accepts an insult, stressed behind a word of degree and chained behind another insult. States: the word before."""
+    if kind == "insult":
+        return 2, {"insult"} | ({"stressed"} if state == 1 else {"chained"} if state == 2 else set())
+    return (1 if kind == "degree" else 0), set()
 
-KINDS = ("other", "insult", "threat", "target", "negation", "report", "intent", "end")
 
+def threat_machine(state, kind, marks):
+    """Accepts target, intent, verb (you will burn) at the verb, and intent, verb, target (will burn you) at the target.
+
+    States: words left to wait after a target, an intent, and a verb that an intent came before.
+    """
+    target, intent, verb = (max(0, x - 1) for x in state)
+    if kind == "target":
+        return (7, intent, 0), {"struck"} if verb else set()
+    if kind == "intent":
+        return (target, 4, verb), set()
+    if kind == "threat" and intent:
+        return ((0, 0, 0), {"struck"}) if target else ((0, 0, 4), set())
+    return (target, intent, verb), set()
+
+
+ACCEPTED = {"insult", "struck"}
 
-def compose(*machines: Transducer) -> dict:
-    """The product of the machines, each reading what the one before writes: (states, class) -> (states, marks)."""
-    start = tuple(m.start for m in machines)
-    table, todo = {}, [start]
-    while todo:
-        states = todo.pop()
-        for kind in KINDS:
-            letter, after = (kind, frozenset()), []
-            for m, s in zip(machines, states, strict=True):
-                s, letter = m(s, letter)
-                after.append(s)
-            after = tuple(after)
-            table[states, kind] = (after, letter[1])
-            if (after, "other") not in table and after not in todo and after != states:
-                todo.append(after)
-    return table
 
+def after(trigger: str, span: int, mark: str):
+    """A machine that marks what insult_machine and threat_machine accept within `span` words of a trigger."""
 
-SCORED = ("insult", "threat")
-FORWARD = compose(window("negation", 3, "negated", SCORED), window("report", 8, "reported", SCORED), window("target", 6, "targeted", SCORED), window("intent", 3, "intended", ("threat",)))
-BACKWARD = compose(window("target", 3, "targeted", SCORED))
+    def machine(state, kind, marks):
+        return (span if kind == trigger else max(0, state - 1)), {mark} if state and marks & ACCEPTED else set()
+
+    return machine
+
+
+class Composed:
+    """The composition of machines: each reads what those before it write. Product states are made as they are met."""
+
+    def __init__(self, *machines):
+        self.machines = [m for m, _ in machines]
+        self.start = tuple(s for _, s in machines)
+        self.table: dict = {}
+
+    def __call__(self, states, kind, marks=frozenset()):
+        key = states, kind, marks
+        got = self.table.get(key)
+        if got is None:
+            now = []
+            for machine, state in zip(self.machines, states, strict=True):
+                state, more = machine(state, kind, marks)
+                marks = marks | more
+                now.append(state)
+            got = self.table[key] = tuple(now), frozenset(marks)
+        return got
+
+
+FORWARD = Composed((insult_machine, 0), (threat_machine, (0, 0, 0)), (after("negation", 3, "negated"), 0), (after("report", 8, "reported"), 0), (after("target", 6, "targeted"), 0))
+BACKWARD = Composed((after("target", 3, "targeted"), 0))
 
 
 @dataclass
@@ -95,49 +117,47 @@ class Lexicon:
     curve: tuple[float, float, float] = (-3.0, 1.0, 0.5)
 
     def __post_init__(self):
-        self.kinds = dict.fromkeys(TARGETS, "target") | dict.fromkeys(NEGATIONS, "negation") | dict.fromkeys(REPORTS, "report") | dict.fromkeys(INTENTS, "intent") | dict.fromkeys(THREATS, "threat")
+        self.kinds = {w: kind for kind, words in KINDS.items() for w in words}
+        self.threats = frozenset(THREATS)
         self.cache: dict[str, float] = {}
 
     def weight(self, word: str) -> float:
-        """The insult weight of a word: its own, or that of its heaviest known beginning; 0 if none."""
+        """The weight of a word's arc as an insult: its own, or that of its heaviest known beginning; 0 if none."""
         got = self.cache.get(word)
         if got is None:
             got = max(self.words.get(word, 0.0), *(self.prefixes.get(word[:n], 0.0) for n in _PREFIX if n <= len(word)), 0.0)
-            if len(self.cache) >= 100_000:
+            if len(self.cache) >= 50_000:
                 self.cache.clear()
             self.cache[word] = got
         return got
 
     def clause(self, words: list[str]) -> float:
-        """The clause's weight: that of its insults and threats, by the marks that the grammar gives them."""
+        """The weight of the grammar's matches in a clause: each accepted letter's, by the marks that it bears."""
         weights = [self.weight(w) for w in words]
         kinds = ["insult" if x else self.kinds.get(w, "other") for w, x in zip(words, weights, strict=True)]
         if "insult" not in kinds and "threat" not in kinds:
             return 0.0
-        marks, state = [], (0, 0, 0, 0)
+        marks, state = [], FORWARD.start
         for kind in kinds:
-            state, own = FORWARD[state, kind]
+            state, own = FORWARD(state, kind)
             marks.append(own)
-        state = (0,)
-        for i in range(len(kinds) - 1, -1, -1):
-            state, own = BACKWARD[state, kinds[i]]
-            marks[i] = marks[i] | own
-        total = 0.0
-        for kind, w, own in zip(kinds, weights, marks, strict=True):
-            if kind == "insult" or kind == "threat" and own >= {"intended", "targeted"}:
-                total += (w or SEED_WEIGHT) * math.prod(FACTORS[m] for m in own)
+        state, total = BACKWARD.start, 0.0
+        for kind, w, own in zip(kinds[::-1], weights[::-1], marks[::-1], strict=True):
+            state, own = BACKWARD(state, kind, own)
+            if own & ACCEPTED:
+                total += (w or SEED_WEIGHT) * math.prod(FACTORS[m] for m in own if m in FACTORS)
         return total
 
     def clauses(self, text: str | None) -> list[float]:
-        """The weights of the text's clauses that have any; whole texts without a known word are told apart first."""
-        text = (text or "").lower()
+        """The weights of the text's clauses that the grammar matches; texts without an insult or a threat's verb have none."""
+        text = plain(text)
         words = _WORD.findall(text)
         cached = list(map(self.cache.get, words))
         if None in cached:
             cached = [self.weight(w) if x is None else x for w, x in zip(words, cached, strict=True)]
-        if not any(cached) and not any(t in text for t in THREATS):
+        if not any(cached) and self.threats.isdisjoint(words):
             return []
-        return [x for c in _CLAUSE.split(text.replace("'", "")) if (x := self.clause(_WORD.findall(c)))]
+        return [x for c in _CLAUSE.split(text) if (x := self.clause(_WORD.findall(c)))]
 
     def features(self, text: str | None) -> tuple[float, float]:
         found = self.clauses(text)
@@ -158,7 +178,7 @@ def _toxic_features(batches):
     for b in batches:
         names, copies = [], []
         for text in b.column(0).to_pylist():
-            words = _WORD.findall((text or "").lower())
+            words = _WORD.findall(plain(text))
             own = {f"w{w}" for w in words if len(w) > 2} | {f"p{w[:n]}" for w in words for n in _PREFIX if n <= len(w)}
             names += own
             copies += [_near_copy(words)] * len(own)
@@ -170,7 +190,7 @@ def _clean_counts(wanted: set[str]):
         seen = Counter()
         for b in batches:
             for text in b.column(0).to_pylist():
-                words = set(_WORD.findall((text or "").lower()))
+                words = set(_WORD.findall(plain(text)))
                 seen.update(({f"w{w}" for w in words} | {f"p{w[:n]}" for w in words for n in _PREFIX if n <= len(w)}) & wanted)
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["feature", "n"])
 
@@ -187,19 +207,27 @@ def fit(rows: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN,
     """Learn the insults and the score's curve from rows (text, label, key); null texts and labels but 0 and 1 are left out.
 
     A word, or a beginning of three to seven letters, is an insult if far more toxic than clean texts have it: near copies
-    count once, so that what only one much-copied text has is none. Without labels of both kinds the seeds stand alone.
+    count once, so that what only one much-copied text has is none. A beginning counts if half as many texts again have it as
+    have any one word of it. Without labels of both kinds, as of an empty table, the
+    seeds stand alone. Rows that repeat a text and key are sampled together; of equal odds, shorter and then lesser words win.
     """
     rows = rows.where("text is not null and label in (0, 1)").select("text", F.col("label").cast("int").alias("label"), "key")
     toxic, clean = (common.cut(_sample(rows.where(F.col("label") == y), most), "labels") for y, most in ((1, max_toxic), (0, max_clean)))
-    seen = common.cut(toxic.select("text").mapInArrow(_toxic_features, "feature string, copy long").groupBy("feature", "copy").agg(F.lit(1).alias("one")), "features")
-    kinds, misses = seen.select(F.approx_count_distinct("copy")).first()[0], clean.count()
+    seen = common.cut(common.map_arrow(toxic.select("text"), _toxic_features, "feature string, copy long").groupBy("feature", "copy").agg(F.lit(1).alias("one")), "features")
+    kinds, misses = seen.select(F.countDistinct("copy")).first()[0], clean.count()
     lexicon = Lexicon()
     if not kinds or not misses:
         return lexicon
     least = max(4, kinds // 200)
     found = dict(seen.groupBy("feature").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "feature").limit(40 * max_lexicon).collect())
-    counts = dict(clean.select("text").mapInArrow(_clean_counts(set(found)), "feature string, n long").groupBy("feature").agg(F.sum("n")).collect())
+    counts = dict(common.map_arrow(clean.select("text"), _clean_counts(set(found)), "feature string, n long").groupBy("feature").agg(F.sum("n")).collect())
     odds = {f: math.log((n + 0.5) / (kinds + 1)) - math.log((counts.get(f, 0) + 0.5) / (misses + 1)) for f, n in found.items()}
+    most: dict[str, int] = {}
+    for f, n in found.items():
+        for k in _PREFIX if f[0] == "w" else ():
+            most[f"p{f[1 : k + 1]}"] = max(most.get(f"p{f[1 : k + 1]}", 0), n)
+    # a beginning that one word alone makes up says no more than the word
+    odds = {f: x for f, x in odds.items() if f[0] == "w" or 2 * found[f] >= 3 * most.get(f, 0)}
     kept = sorted((f for f, x in odds.items() if x >= 3.0), key=lambda f: (-odds[f], len(f), f))[:max_lexicon]
     for f in kept:
         into = lexicon.words if f[0] == "w" else lexicon.prefixes
@@ -220,7 +248,7 @@ def _features(lexicon: Lexicon, label: int):
 def _curve(lexicon: Lexicon, toxic: DataFrame, clean: DataFrame) -> tuple[float, float, float]:
     """Logistic regression on the sample's clause features, by Newton steps with a small ridge."""
     ddl = "a double, b double, y long"
-    rows = toxic.select("text").mapInArrow(_features(lexicon, 1), ddl).unionAll(clean.select("text").mapInArrow(_features(lexicon, 0), ddl)).collect()
+    rows = common.map_arrow(toxic.select("text"), _features(lexicon, 1), ddl).unionAll(common.map_arrow(clean.select("text"), _features(lexicon, 0), ddl)).collect()
     x = np.array([(1.0, r.a, r.b) for r in rows])
     y = np.array([r.y for r in rows], float)
     w, ridge = np.array([-3.0, 1.0, 0.5]), np.diag([0.01, 0.1, 0.1])
@@ -232,15 +260,19 @@ def _curve(lexicon: Lexicon, toxic: DataFrame, clean: DataFrame) -> tuple[float,
 
 
 def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", column: str = "score") -> DataFrame:
-    """docs with a column `column` double, 0 to 1; null and empty texts score as texts without an insult."""
-    fields = docs.withColumn(column, F.lit(0.0).cast("double")).schema
+    """docs with a column `column` double, 0 to 1, in the place of any of that name, whatever its case.
+
+    Null and empty texts score as texts without a match. Every row is scored alone: repeated rows alike, no rows give none.
+    """
+    fields = T.StructType([*common.replaced(docs.schema, column), T.StructField(column, T.DoubleType())])
 
     def run(batches):
         for b in batches:
             got = pa.array([lexicon.score(t) for t in b.column(b.schema.get_field_index(text_col)).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns, got], names=[*b.schema.names, column])
+            cols, names = common.without(b, column)
+            yield pa.RecordBatch.from_arrays([*cols, got], names=[*names, column])
 
-    return docs.mapInArrow(run, fields)
+    return common.map_arrow(docs, run, fields)
 
 
 def fit_tables(spark: SparkSession, sf_dir: str) -> Lexicon:
