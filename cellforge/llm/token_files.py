@@ -241,7 +241,7 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int = 0, segment_ids: i
     """Shard rows of docs in ascending doc_id order, ready to be written.
 
     A shard is a range of doc_ids, in segments of whole documents of about segment_ids ids. Each document ends with end_id.
-    Null and empty texts have that id alone; null doc_ids come first; repeated rows are written each. `before` counts the
+    Null and empty texts have that id alone; null doc_ids come first; rows that repeat a doc_id are written each, by a hash of their text. `before` counts the
     ids of the shard before the segment, block_words the 64-bit words of each block of 128 ids.
     """
 
@@ -268,7 +268,9 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int = 0, segment_ids: i
             yield segment(shard, number, before, ids, names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, SHARD_DDL)
+    # rows of one doc_id by a hash of their text, so that every run gives the same order and many of them fall to several tasks
+    order = ["doc_id", F.xxhash64("text"), "text"]
+    return common.map_arrow(rows.repartitionByRange(*order[:2]).sortWithinPartitions(*order), run, SHARD_DDL)
 
 
 def decode(shards: DataFrame, keep_ids: bool = True) -> DataFrame:
@@ -298,7 +300,7 @@ def decode(shards: DataFrame, keep_ids: bool = True) -> DataFrame:
 
     first = F.broadcast(shards.sparkSession.createDataFrame(starts, "shard long, first long"))
     ddl = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * keep_ids
-    return shards.join(first, "shard").mapInArrow(run, ddl)
+    return common.map_arrow(shards.join(first, "shard"), run, ddl)
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
