@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from cellforge.llm import common
 
 LENGTH = 200
-#: Rows of a join's small side up to which it is broadcast; beyond, both sides are shuffled.
-BROADCAST_ROWS = 1_000_000
-#: Contexts of an anchor up to which one task sorts their suffixes; beyond, their strings are counted by 128-bit hash.
-GROUP_CONTEXTS = 512
+#: Bytes of a join's small side, arrays counted whole, up to which it is broadcast; beyond, both sides are shuffled.
+BROADCAST_BYTES = 64 << 20
+#: Contexts of an anchor whose suffixes one task sorts together; more are salted into tiles, whose sorted strings then meet.
+TILE_CONTEXTS = 512
 _ANCHOR, _GAP = b"\xff", b"\xfe"  # bytes that UTF-8 never has
 _LOW = np.uint64((1 << 22) - 1)
 _SEGMENT = 1 << 21
@@ -177,99 +177,115 @@ def _anchors(length: int):
     return run, "doc_id long, key long, h long, c long, first long, owned int, lead int"
 
 
-def group_starts(contexts: list[tuple], length: int) -> list[tuple[int, int, int]]:
-    """(context, first, last) start ranges that another context of the same anchor has too.
+def tile_starts(contexts: list[tuple], length: int, alone: bool = True):
+    """(ranges, strings) of one tile of an anchor's contexts, by a suffix array over those whose anchor bytes are the same.
 
     contexts: (bytes, lead, owned): the anchor is at bytes[lead:lead + length // 2], and the strings of the first `owned`
-    starts are asked for. Each context is first trimmed to what it can share with any other.
+    starts are asked for. ranges: (context, first, last) of starts whose string another context of the tile has too. strings,
+    unless the tile is alone: each different string once, as (context, start, whether the tile has it once). A tile that is
+    alone first trims each context to what it can share with any other.
     """
     k = length // 2
-    sides = [[x[lead - 1 :: -1] if lead else b"" for x, lead, _ in contexts], [x[lead + k :] for x, lead, _ in contexts]]
-    reach = []
-    for side in sides:
-        best = [0] * len(contexts)
-        by = sorted(range(len(contexts)), key=side.__getitem__)
-        for i, j in pairwise(by):
-            n = len(os.path.commonprefix((side[i], side[j])))
-            best[i], best[j] = max(best[i], n), max(best[j], n)
-        reach.append(best)
+    by_anchor: dict[bytes, list[int]] = {}
+    for c, (x, lead, _) in enumerate(contexts):
+        by_anchor.setdefault(x[lead : lead + k], []).append(c)
+    ranges, strings = [], []
+    for own in by_anchor.values():
+        if alone and len(own) < 2:
+            continue
+        classes = _classes([contexts[c] for c in own], length, alone)
+        hits: list[list[int]] = [[] for _ in own]
+        for members in classes:
+            if len(members) > 1:
+                for c, at in members:
+                    hits[c].append(at)
+            if not alone:
+                c, at = members[0]
+                strings.append((own[c], at, len(members) == 1))
+        for c, found in zip(own, hits, strict=True):
+            found.sort()
+            begin = 0
+            for i in range(1, len(found) + 1):
+                if i == len(found) or found[i] != found[i - 1] + 1:
+                    ranges.append((c, found[begin], found[i - 1]))
+                    begin = i
+    return ranges, strings
+
+
+def _classes(contexts: list[tuple], length: int, trim: bool):
+    """Lists of (context, start) of equal strings, in the strings' order, of contexts with the same anchor bytes."""
+    k = length // 2
+    reach = [[lead for _, lead, _ in contexts], [len(x) - lead - k for x, lead, _ in contexts]]
+    if trim:
+        sides = [[x[lead - 1 :: -1] if lead else b"" for x, lead, _ in contexts], [x[lead + k :] for x, lead, _ in contexts]]
+        for n, side in enumerate(sides):
+            reach[n] = best = [0] * len(contexts)
+            by = sorted(range(len(contexts)), key=side.__getitem__)
+            for i, j in pairwise(by):
+                same = len(os.path.commonprefix((side[i], side[j])))
+                best[i], best[j] = max(best[i], same), max(best[j], same)
     text, whose, rest = [], [], length - k
     size = rest + 1  # the anchor counts as one symbol
-    for c, ((x, lead, _), left, right) in enumerate(zip(contexts, *reach, strict=True)):
+    for c, ((x, lead, owned), left, right) in enumerate(zip(contexts, *reach, strict=True)):
         if left + right >= rest:
             text.append(x[lead - left : lead] + _ANCHOR + x[lead + k : lead + k + right] + _GAP)
-            whose.append((c, lead - left, left, left + right - rest))
-    if len(text) < 2:
-        return []
+            shift = lead - left
+            whose.append((c, shift, min(left, left + right - rest, owned - 1 - shift)))
+    if not text or trim and len(text) < 2:
+        return
     s = b"".join(text)
     owner = np.repeat(np.arange(len(text)), [len(x) for x in text])
     begins = np.concatenate([[0], np.cumsum([len(x) for x in text])])
     offset = np.arange(len(s)) - begins[owner]
-    lefts, lasts = (np.array([w[i] for w in whose]) for i in (2, 3))
-    fits = (offset <= lefts[owner]) & (offset <= lasts[owner])
-    fits = np.append(fits, False).tolist()
-    same, before, hits = False, b"", [[] for _ in text]
-    held = 0
+    fits = np.append(offset <= np.array([w[2] for w in whose])[owner], False).tolist()
+    before, members = b"", []
     for p in suffix_array([*s, -1]):
         if fits[p]:
             now = s[p : p + size]
-            if now == before:
-                if not same:
-                    hits[owner[held]].append(int(offset[held]))
-                hits[owner[p]].append(int(offset[p]))
-                same = True
-            else:
-                same, before = False, now
-            held = p
-    out = []
-    for (c, shift, _, _), found in zip(whose, hits, strict=True):
-        found.sort()
-        begin = 0
-        for i in range(1, len(found) + 1):
-            if i == len(found) or found[i] != found[i - 1] + 1:
-                out.append((c, found[begin] + shift, found[i - 1] + shift))
-                begin = i
-    return out
+            if now != before:
+                if members:
+                    yield members
+                before, members = now, []
+            c, shift, _ = whose[owner[p]]
+            members.append((c, int(offset[p]) + shift))
+    if members:
+        yield members
+
 
+_SORTED = ["doc_id", "key", "first", "last", "d", "once"]
+
+
+def _sort_tiles(length: int):
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
 
-def _sort_groups(length: int):
     def flush(rows, out):
-        for c, first, last in group_starts([(r[3], r[4], r[5]) for r in rows], length):
-            doc, key, at, _, _, owned, copies = rows[c]
-            if copies == 1 and first < owned:
-                for o, v in zip(out, (doc, key, at + first, at + min(last, owned - 1)), strict=True):
+        ranges, strings = tile_starts([(r[4], r[5], r[6]) for r in rows], length, rows[0][0] == 1) if rows else ((), ())
+        for c, first, last in ranges:
+            _, doc, key, at, _, _, _, copies = rows[c]
+            if copies == 1:
+                for o, v in zip(out, (doc, key, at + first, at + last, None, False), strict=True):
                     o.append(v)
+        for c, i, once in strings:
+            _, doc, key, at, x, _, _, copies = rows[c]
+            d = xxhash.xxh3_128_digest(x[i : i + length])
+            for o, v in zip(out, (doc, key, at + i, at + i, d, once and copies == 1), strict=True):
+                o.append(v)
 
     def run(batches):
-        now, rows = None, []
+        now, rows, out = None, [], [[] for _ in _SORTED]
         for b in batches:
-            out = [[], [], [], []]
-            for h, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if h != now:
+            for h, tile, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (h, tile) != now:
                     flush(rows, out)
-                    now, rows = h, []
+                    now, rows = (h, tile), []
+                    if len(out[0]) >= 1 << 14:
+                        yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], names=_SORTED)
+                        out = [[] for _ in _SORTED]
                 rows.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=["doc_id", "key", "first", "last"])
-        out = [[], [], [], []]
         flush(rows, out)
-        yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=["doc_id", "key", "first", "last"])
+        yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], names=_SORTED)
 
-    return run, "doc_id long, key long, first long, last long"
-
-
-def _count_strings(length: int):
-    def run(batches):
-        for b in batches:
-            out = [[], [], [], [], []]
-            for doc, key, at, x, _, owned, copies in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for i in range(owned):
-                    d = xxhash.xxh3_128_intdigest(x[i : i + length])
-                    for o, v in zip(out, (doc, key, at + i, d.to_bytes(16, "big"), copies), strict=True):
-                        o.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], names=["doc_id", "key", "first", "d", "copies"])
-
-    return run, "doc_id long, key long, first long, d binary, copies long"
+    return run, "doc_id long, key long, first long, last long, d binary, once boolean"
 
 
 def _contexts(length: int):
@@ -288,14 +304,12 @@ def _contexts(length: int):
     return run, "h long, doc_id long, key long, first long, x binary, lead int, owned int, copies long"
 
 
-def _side(df: DataFrame) -> DataFrame:
-    """df for the small side of a join, broadcast only if it is counted to be small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
-def _by_doc(docs: DataFrame, other: DataFrame, how: str) -> DataFrame:
+def _by_doc(docs: DataFrame, other: DataFrame, how: str, array: str, each: int) -> DataFrame:
+    """docs joined to rows of (doc_id, key, array); those are broadcast only if all arrays, at `each` bytes an item, are small."""
     o = other.withColumnsRenamed({"doc_id": "o_doc", "key": "o_key"})
-    return docs.join(_side(o), (docs["key"] == o["o_key"]) & docs["doc_id"].eqNullSafe(o["o_doc"]), how).drop("o_doc", "o_key")
+    size = other.agg(F.sum(F.size(array) * each + 64)).first()[0] or 0
+    o = F.broadcast(o) if size <= BROADCAST_BYTES else o
+    return docs.join(o, (docs["key"] == o["o_key"]) & docs["doc_id"].eqNullSafe(o["o_doc"]), how).drop("o_doc", "o_key")
 
 
 def _merge(batches):
@@ -317,39 +331,45 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     docs: doc_id, key, text. Every such string owns an anchor by content alone, so two equal strings own equal ones.
     Anchors that occur once are dropped after a count with partial sums. An anchor with all that it owns is a context: one
-    that occurs again needs nothing more; the others of the same anchor meet in a suffix array.
+    that occurs again, by 128 bits of hash, needs nothing more; the others of the same anchor meet in suffix arrays, in tiles
+    of a bounded number, and the strings of an anchor with several tiles then meet by 128-bit hash, once a tile each.
+    No rows, and strings that are all different, give no ranges; rows that repeat a doc_id and text are one row each.
     """
     run, ddl = _anchors(length)
-    anchors = common.cut(docs.select("doc_id", "key", "text").mapInArrow(run, ddl), "anchors")
+    anchors = common.cut(common.map_arrow(docs.select("doc_id", "key", "text"), run, ddl), "anchors")
     twice = common.cut(anchors.groupBy("h").count().where("count > 1").select("h"), "twice")
     rows = common.cut(anchors.join(twice, "h"), "rows")
     common.drop(anchors)
+    common.drop(twice)
     rep = F.min(F.struct("doc_id", "key", "first", "owned", "lead")).alias("r")
     classes = common.cut(rows.groupBy("h", "c").agg(F.count("*").alias("copies"), rep), "classes")
     some = classes.groupBy("h").agg(F.count("*").alias("contexts"), F.sum((F.col("copies") == 1).cast("long")).alias("single"))
-    some = common.cut(some.where("contexts > 1 and single > 0").select("h", "contexts"), "some")
+    some = common.cut(some.where("contexts > 1 and single > 0").select("h", F.ceil(F.col("contexts") / TILE_CONTEXTS).cast("int").alias("tiles")), "some")
     whole = rows.join(classes.where("copies > 1").select("h", "c"), ["h", "c"])
-    whole = whole.select("doc_id", "key", "first", (F.col("first") + F.col("owned") - 1).alias("last"))
-    marks = classes.join(some, "h").select("r.doc_id", "r.key", F.struct("h", "r.first", "r.owned", "r.lead", "copies", "contexts").alias("m"))
+    whole = common.cut(whole.select("doc_id", "key", "first", (F.col("first") + F.col("owned") - 1).alias("last")), "whole")
+    common.drop(rows)
+    marks = classes.join(some, "h").select("r.doc_id", "r.key", F.struct("h", "r.first", "r.owned", "r.lead", "copies").alias("m"))
     marks = common.cut(marks.groupBy("doc_id", "key").agg(F.collect_list("m").alias("marks")), "marks")
+    common.drop(classes)
     run, ddl = _contexts(length)
-    found = _by_doc(docs, marks, "inner").select("doc_id", "key", "text", "marks").mapInArrow(run, ddl)
+    found = common.map_arrow(_by_doc(docs, marks, "inner", "marks", 48).select("doc_id", "key", "text", "marks"), run, ddl)
     # rows that repeat a doc_id and text give a context once each
-    found = common.cut(found.dropDuplicates(["h", "doc_id", "key", "first"]).join(some, "h"), "contexts")
-    cols = ["doc_id", "key", "first", "x", "lead", "owned", "copies"]
-    run, ddl = _sort_groups(length)
-    sets = [whole, found.where(F.col("contexts") <= GROUP_CONTEXTS).select("h", *cols).repartition("h").sortWithinPartitions("h").mapInArrow(run, ddl)]
-    hot = found.where(F.col("contexts") > GROUP_CONTEXTS).select(*cols)
-    if not hot.isEmpty():
-        run, ddl = _count_strings(length)
-        strings = common.cut(hot.mapInArrow(run, ddl), "strings")
-        again = common.cut(strings.groupBy("d").agg(F.sum("copies").alias("n")).where("n > 1").select("d"), "again")
-        sets.append(strings.where("copies = 1").join(again, "d").select("doc_id", "key", "first", F.col("first").alias("last")))
-    spans = sets[0]
-    for more in sets[1:]:
-        spans = spans.unionAll(more)
+    found = found.dropDuplicates(["h", "doc_id", "key", "first"]).join(some, "h")
+    tile = F.pmod(F.xxhash64("doc_id", "key", "first"), F.col("tiles")).cast("int").alias("tile")
+    found = found.select("h", tile, "tiles", "doc_id", "key", "first", "x", "lead", "owned", "copies").repartition("h", "tile").sortWithinPartitions("h", "tile")
+    run, ddl = _sort_tiles(length)
+    found = common.cut(common.map_arrow(found, run, ddl), "sorted")
+    common.drop(marks)
+    common.drop(some)
+    spans = whole.unionAll(found.where("d is null").select("doc_id", "key", "first", "last"))
+    strings = found.where("d is not null")
+    again = strings.groupBy("d").count().where("count > 1").select("d")
+    spans = spans.unionAll(strings.where("once").join(again, "d").select("doc_id", "key", "first", "last"))
     spans = spans.distinct().groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    return common.cut(spans.mapInArrow(_merge, "doc_id long, key long, starts array<long>"), "starts")
+    out = common.cut(common.map_arrow(spans, _merge, "doc_id long, key long, starts array<long>"), "starts")
+    common.drop(found)
+    common.drop(whole)
+    return out
 
 
 def _remove(length: int, keep_text: bool):
@@ -382,11 +402,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     """Each row's bytes without those that a repeated `length`-byte string covers.
 
     Rows are doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (flat byte ranges), kept. Null and empty texts have no
-    bytes. Rows that repeat a text repeat its strings, whatever their doc_id. Strings are judged on the input.
+    bytes. Rows that repeat a text repeat its strings, whatever their doc_id, so all of them lose those. Strings are judged on
+    the input. No rows give none; other columns aren't read.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
-    joined = _by_doc(docs, repeated_starts(docs, length), "left")
-    return joined.select("doc_id", "text", "starts").mapInArrow(*_remove(length, keep_text))
+    joined = _by_doc(docs, repeated_starts(docs, length), "left", "starts", 8)
+    return common.map_arrow(joined.select("doc_id", "text", "starts"), *_remove(length, keep_text))
 
 
 def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
