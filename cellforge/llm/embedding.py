@@ -20,15 +20,23 @@ CODES, FILTERS = 8, 10
 LEAST_DIM = 32
 
 
+#: Code words beyond which a task's code books and inner products would outgrow it.
+MOST_WORDS = 1 << 15
+
+
 def code_words(n: int, filters: int = FILTERS) -> int:
-    """Code words of each half of a direction: as many as leave unlike vectors an eighth of a filter each, for n vectors."""
-    return 1 << min(14, max(10, math.ceil(math.log2(max(1.0, 8.0 * n * filters)) / 2)))
+    """Code words of each half of a direction: as many as leave unlike vectors an eighth of a filter each, for n vectors.
+
+    They grow with the root of n up to MOST_WORDS (some 14 million vectors); with more, filters fill up in proportion to n:
+    at 10**9 vectors some 10 unlike ones share a filter. No pair is lost by that, filters of any size are met in tiles.
+    """
+    return 1 << min(MOST_WORDS.bit_length() - 1, max(10, math.ceil(math.log2(max(1.0, 8.0 * n * filters)) / 2)))
 
 
 #: Members of a filter that one task compares; larger filters are met by pairs of salted tiles.
 TILE = 512
-#: Rows of a join's small side up to which it is broadcast; beyond, both sides are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of a join's small side, at 32 a row, up to which it is broadcast; beyond, both sides are shuffled.
+BROADCAST_BYTES = 32 << 20
 
 
 @functools.lru_cache(maxsize=16)
@@ -79,7 +87,7 @@ def _unit(v: np.ndarray) -> np.ndarray:
 def _filters(code: int, seeds: list[int], limits: list[float], dim: int):
     def run(batches):
         for b in batches:
-            x = _unit(np.array(b.column(1).flatten()).reshape(len(b), dim))
+            x = _unit(np.array(b.column(1).flatten(), np.float64).reshape(len(b), dim))
             x = np.pad(x, ((0, 0), (0, max(dim, LEAST_DIM) - dim)))
             each = [decode_filters(x, code, s, t) for s, t in zip(seeds, limits, strict=True)]
             got = [np.concatenate([f + r * code * code for r, f in enumerate(own)]) for own in zip(*each, strict=True)]
@@ -135,7 +143,7 @@ def _compare(cosine: float):
     def compare(t: pa.Table):
         """All whole groups of a table sorted by f, p, q."""
         f, p, q, rep, copies, salt = (t.column(c).to_numpy() for c in ("f", "p", "q", "rep", "copies", "salt"))
-        v = _unit(t.column("v").combine_chunks().flatten().to_numpy().reshape(len(f), -1))
+        v = _unit(t.column("v").combine_chunks().flatten().to_numpy().astype(np.float64).reshape(len(f), -1))
         filters = t.column("filters").combine_chunks()
         first = np.flatnonzero(np.append(True, (f[1:] != f[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])))
         size = np.diff(np.append(first, len(f)))
@@ -181,44 +189,68 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     a vector. A pair of classes is found if both exceed a common filter. No rows give no rows.
     """
     clean = F.col(vec_col).isNotNull() & F.forall(vec_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vec_col, lambda x: x != 0)
-    # 0.0 and -0.0 are one value
-    v = F.when(clean, F.transform(vec_col, lambda x: x.cast("double") + F.lit(0.0)))
-    all_rows = common.cut(rows.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")), "vectors")
-    classes = all_rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    # single-precision components stay so on their way; 0.0 and -0.0 are one value
+    kind = "float" if rows.schema[vec_col].dataType.elementType.typeName() == "float" else "double"
+    v = F.when(clean, F.transform(vec_col, lambda x: x.cast(kind) + F.lit(0.0).cast(kind)))
+    key = [F.xxhash64("v").alias("k1"), F.xxhash64(F.lit(1), "v").alias("k2")]  # 128 bits tell vectors apart
+    all_rows = common.cut(rows.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).select("vec_id", "v", *key), "vectors")
+    classes = all_rows.where("v is not null").groupBy("k1", "k2").agg(F.first("v").alias("v"), F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     classes = common.cut(classes.where("rep is not null"), "classes")
-    parts = []
+    parts, cuts = [], []
     for dim in sorted(r[0] for r in classes.select(F.size("v")).distinct().collect()):
         some = classes.where(F.size("v") == dim)
         words = code or code_words(some.count(), filters)
         seeds = [seed + 2 * r for r in range(codes)]
         run, ddl = _filters(words, seeds, [threshold(max(dim, LEAST_DIM), words, filters, s) for s in seeds], dim)
-        coded = common.cut(some.select("rep", "v").mapInArrow(run, ddl), "coded")
+        coded = common.cut(common.map_arrow(some.select("rep", "v"), run, ddl), "coded")
         member = coded.select("rep", F.explode("filters").alias("f"))
         shared = common.cut(member.groupBy("f").agg(F.count("*").alias("members")).where("members > 1"), "shared")
-        live = member.join(F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared, "f")
+        live = member.join(F.broadcast(shared) if 32 * shared.count() <= BROADCAST_BYTES else shared, "f")
         live = live.groupBy("rep").agg(F.collect_list(F.struct("f", "members")).alias("fs"))  # as many as a vector has filters
         each = classes.join(live, "rep").select("rep", "v", "copies", F.col("fs.f").alias("filters"), F.explode("fs").alias("m"))
         salts = F.ceil(F.col("m.members") / tile).cast("int")
         each = each.withColumn("salt", F.pmod(F.xxhash64("rep"), salts).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), salts - 1)))
-        each = each.select(F.col("m.f").alias("f"), F.least("salt", "y").alias("p"), F.greatest("salt", "y").alias("q"), "rep", "v", "copies", "filters", "salt")
+        # a pair counts in its first common filter, so only the filters before this one go along
+        before = F.filter("filters", lambda x: x <= F.col("m.f"))
+        each = each.select(F.col("m.f").alias("f"), F.least("salt", "y").alias("p"), F.greatest("salt", "y").alias("q"), "rep", "v", "copies", before.alias("filters"), "salt")
         run, ddl = _compare(cosine)
-        parts.append(each.repartition("f", "p", "q").sortWithinPartitions("f", "p", "q").mapInArrow(run, ddl))
+        parts.append(common.map_arrow(each.repartition("f", "p", "q").sortWithinPartitions("f", "p", "q"), run, ddl))
+        cuts += [coded, shared]
     if parts:
         found = parts[0]
         for more in parts[1:]:
             found = found.unionAll(more)
         found = common.cut(found, "found")
+        for done in cuts:
+            common.drop(done)
         links = found.groupBy("node").agg(F.sum("n").alias("n"))
         comp = common.components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        info = classes.select("v", "rep", "copies").join(links, F.col("rep") == F.col("node"), "left").drop("node")
+        info = classes.select("k1", "k2", "rep", "copies").join(links, F.col("rep") == F.col("node"), "left").drop("node")
         info = info.join(comp, F.col("rep") == F.col("node"), "left")
-        info = info.select("v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        info = info.select("k1", "k2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     else:
-        info = classes.select("v", (F.col("copies") - 1).alias("n_links"), F.col("rep").alias("component_id"))
-    out = all_rows.join(info, "v", "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+        info = classes.select("k1", "k2", (F.col("copies") - 1).alias("n_links"), F.col("rep").alias("component_id"))
+    clean_rows = all_rows.where("v is not null").select("vec_id", "k1", "k2").join(info, ["k1", "k2"], "left")
+    clean_rows = clean_rows.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    return clean_rows.unionAll(all_rows.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
 
 
 def op3_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(common.table(spark, sf_dir, "embeddings"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+#: All pairs and their closure, for small tables. Components count as of full precision; a vector is scaled by its largest first.
+ORACLE_SQL = """
+WITH RECURSIVE clean AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+scaled AS (SELECT vec_id, list_transform(e, lambda x: x / list_max(list_transform(e, lambda y: abs(y)))) AS e FROM clean),
+units AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n, len(e) AS d FROM scaled),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM units a JOIN units b ON a.d = b.d AND a.vec_id <> b.vec_id WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN least ON least.a = vec_id LEFT JOIN counts ON counts.a = vec_id
+"""

@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontaminate": decontaminate.ORACLE_SQL}
+    return {"op3_embedding": embedding.ORACLE_SQL, "op6_decontaminate": decontaminate.ORACLE_SQL}
