@@ -4,39 +4,44 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cellforge.llm import common, decontaminate, pieces, pii, simhash, toxicity
 
-#: Doc ids to drop up to which they are broadcast; beyond, both sides of the join are shuffled.
-BROADCAST_ROWS = 1_000_000
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs but those that the toxicity grammar, learned from the labels, scores 0.7 or more."""
+    """docs but those that the toxicity grammar, learned from the labels, scores 0.7 or more.
+
+    Rows are scored alone: repeated rows stay or go together, null and empty texts stay, no rows give none.
+    """
     lexicon = toxicity.fit_tables(spark, sf_dir)
     return toxicity.score(docs, lexicon, column="toxic_score").where("toxic_score < 0.7").drop("toxic_score")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group of near copies; rows without a doc_id stay."""
-    groups = simhash.near_duplicates(docs)
-    gone = common.cut(groups.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of near copies, that of the smallest doc_id, null ones last; rows are told apart by doc_id and text.
+
+    Of rows that repeat both, one stays; texts without a word, null ones too, are one group; no rows give none.
+    """
+    return simhash.keep_one(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs but those that hold four fifths of the five-word shingles of a benchmark item."""
+    """docs but those that hold four fifths of the five-word shingles of a benchmark item.
+
+    Rows are judged alone: repeated rows stay or go together; null and empty texts stay, as all do without a benchmark.
+    """
     return decontaminate.clean(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with personal data replaced by its kind."""
+    """docs with personal data replaced by its kind; all rows stay, repeated ones alike, null and empty texts as they are."""
     return pii.redact(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Two distinct sampled segmentations of each text as piece ids, with their inclusion scores."""
+    """Two distinct sampled segmentations of each text as piece ids, with their inclusion scores.
+
+    One row where a text has one segmentation, as null and empty texts do; repeated rows repeat their samples; no rows give none.
+    """
     return pieces.sample(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
@@ -48,7 +53,7 @@ STAGES = [
     ("pieces", encode),
 ]
 
-#: No SQL: neither the learned grammar nor sampled segmentations are expressible; tests hold each stage against brute force.
+#: No SQL: neither the learned grammar nor sampled segmentations are expressible; a test holds run() against brute force.
 ORACLE_SQL = None
 
 
