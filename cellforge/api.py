@@ -231,6 +231,22 @@ class Dataset:
             next(iter(own.values()))._same(v)
         return Array(self, parse(text, {n: v.column for n, v in own.items()}), "expression", next(iter(own.values())).domain, next(iter(own.values())).base).astype(dtype)
 
+    def map_blocks(self, function: Callable[[int, int, dict[str, np.ndarray]], object], schema, fields: Sequence[str]) -> DataFrame:
+        """function(level, block, {field: array in (i, j, k) order}) of each block, a pandas frame of `schema`, a block a call."""
+        names = [self.resolve_field(f) for f in fields]
+        bounds = {(b.level, b.block): (b.lo, b.hi) for b in self.mesh.hierarchy.blocks}
+
+        def run(rows):
+            level, block = int(rows["level"].iloc[0]), int(rows["block"].iloc[0])
+            lo, hi = bounds[level, block]
+            at = tuple(rows[n].to_numpy() - a for n, a in zip("ijk", lo, strict=True))
+            data = {n: np.full([h - a + 1 for a, h in zip(lo, hi, strict=True)], np.nan) for n in names}
+            for n, out in data.items():
+                out[at] = rows[n].to_numpy()
+            return function(level, block, data)
+
+        return self.mesh.only(*names).select(*CELL, "block", *names).groupBy("level", "block").applyInPandas(run, schema)
+
     def particle_species(self, name: str) -> ParticleSpecies:
         if name not in self.species:
             raise KeyError(catalog.close_matches(name, self.species))

@@ -131,6 +131,13 @@ def test_steps_and_derived_fields(ds, spark, tmp_path):
         ds.select(step=1)
 
 
+def test_functions_of_blocks(ds):
+    import pandas as pd
+
+    out = ds.map_blocks(lambda level, block, data: pd.DataFrame({"block": [block], "corner": [data["rho"][0, 0, 0]], "sum": [data["rho"].sum()]}), "block int, corner double, sum double", ["rho"])
+    assert sorted(map(tuple, out.collect())) == [(0, 0.0, 28.0), (1, 8.0, 92.0)]
+
+
 def test_stores(spark):
     store = MemoryStore()
     store.set_chunk("note", 0, 0, b"any bytes", dtype="opaque")
