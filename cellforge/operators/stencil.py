@@ -23,34 +23,38 @@ def gradients(mesh: Mesh, names: Sequence[str], radius: int = 1, level: int | No
     """
     h, c = mesh.hierarchy, mesh.cells
     values = F.array(*[F.col(n).cast("double") for n in names])
-    centre = F.array(*[h.centre(a) for a in range(3)])
+
+    def centre(a: int, prefix: str = "") -> Column:
+        return h.edge(a, f"{prefix}{'ijk'[a]}", f"{prefix}level") + h.per_level(lambda x: x.dx[a], f"{prefix}level") / 2
+
     target = c if level is None else c.where(F.col("level") == level)
     target = target if targets is None else target.join(targets, _CELL, "left_semi")
-    target = target.select(*_CELL, values.alias("f"), centre.alias("c"), F.array(*[h.per_level(lambda x, a=a: x.dx[a]) for a in range(3)]).alias("d"))
+    target = target.select(*_CELL, values.alias("f"))
     offsets = [o for o in product(range(-radius, radius + 1), repeat=3) if any(o)]
     point = F.explode(F.array(*[F.struct(*[F.lit(float(v)).alias("xyz"[a]) for a, v in enumerate(o)], F.lit(n).alias("n")) for n, o in enumerate(offsets)]))
-    points = target.withColumn("o", point)
+    points = target.withColumns({f"c{a}": centre(a) for a in range(3)} | {f"w{a}": h.per_level(lambda x, a=a: x.dx[a]) for a in range(3)}).withColumn("o", point)
     lo, hi = h.domain()
     base, asks = h.levels[0], []
     for x in h.levels:
         place = []
         for a in range(3):
-            p = F.col("c")[a] + F.col(f"o.{'xyz'[a]}") * F.col("d")[a]
+            p = F.col(f"c{a}") + F.col(f"o.{'xyz'[a]}") * F.col(f"w{a}")
             if base.periodic[a]:
                 width = hi[a] - lo[a]
                 p = F.lit(lo[a]) + F.pmod(p - lo[a], F.lit(width))
             place.append((F.floor((p - x.x0[a]) / x.dx[a]) + x.origin[a]).cast("int").alias(f"s_{'ijk'[a]}"))
         asks.append(F.struct(F.lit(x.level).alias("s_level"), *place))
-    asked = points.select(*_CELL, "f", "c", F.col("o.n").alias("n"), F.explode(F.array(*asks)).alias("s")).select(*_CELL, "f", "c", "n", "s.*")
-    source = c.select(*[F.col(n).alias(f"s_{n}") for n in _CELL], values.alias("s_f"), centre.alias("s_c"))
+    # asked rows carry keys and the cell's own values; centres follow from the keys
+    asked = points.select(*_CELL, "f", F.col("o.n").alias("n"), F.explode(F.array(*asks)).alias("s")).select(*_CELL, "f", "n", "s.*")
+    source = c.select(*[F.col(n).alias(f"s_{n}") for n in _CELL], values.alias("s_f"))
     got = asked.join(source, [f"s_{n}" for n in _CELL])
     # from here on everything is by target cell: one exchange serves the three aggregations
     got = got.repartition(*_CELL)
-    best = got.groupBy(*_CELL, "n").agg(F.first("f").alias("f"), F.first("c").alias("c"), F.max(F.struct("s_level", "s_i", "s_j", "s_k", "s_f", "s_c")).alias("s"))
-    once = best.groupBy(*_CELL, "s.s_level", "s.s_i", "s.s_j", "s.s_k").agg(F.first("f").alias("f"), F.first("c").alias("c"), F.first("s.s_f").alias("s_f"), F.first("s.s_c").alias("s_c"))
+    best = got.groupBy(*_CELL, "n").agg(F.first("f").alias("f"), F.max(F.struct("s_level", "s_i", "s_j", "s_k", "s_f")).alias("s"))
+    once = best.groupBy(*_CELL, "s.s_level", "s.s_i", "s.s_j", "s.s_k").agg(F.first("f").alias("f"), F.first("s.s_f").alias("s_f"))
     d = []
     for a in range(3):
-        e = F.col("s_c")[a] - F.col("c")[a]
+        e = centre(a, "s_") - centre(a)
         if periodic == "unwrapped" and base.periodic[a]:
             width = hi[a] - lo[a]
             e = e - F.lit(width) * F.round(e / width)
