@@ -175,7 +175,8 @@ def test_sampled_segmentations(spark, odd, none):
             assert sp.decode(r.ids) == texts[r.doc_id]
     assert len({tuple(r.ids) for r in rows if r.doc_id == 5}) == 3
     assert [r.n_ids for r in rows if r.doc_id in (1, 2)] == [0, 0]
-    back = pieces.decode(pieces.sample(odd, MODEL, k=1).select("doc_id", "ids"), MODEL)
+    back = pieces.decode(pieces.sample(odd, MODEL, k=1).select("doc_id", "ids", F.lit(7).alias("TEXT")), MODEL)
+    assert back.dtypes == [("doc_id", "bigint"), ("ids", "array<int>"), ("text", "string")]
     assert {r.text for r in back.where("doc_id = 7").collect()} == {texts[7]}
     assert pieces.sample(none, MODEL).count() == 0
 
