@@ -258,7 +258,7 @@ _SORTED = ["doc_id", "key", "first", "last", "d", "once"]
 def _sort_tiles(length: int):
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
 
-    def flush(rows, out):
+    def flush(rows, out, side):
         ranges, strings = tile_starts([(r[4], r[5], r[6]) for r in rows], length, rows[0][0] == 1) if rows else ((), ())
         for c, first, last in ranges:
             _, doc, key, at, _, _, _, copies = rows[c]
@@ -267,22 +267,22 @@ def _sort_tiles(length: int):
                     o.append(v)
         for c, i, once in strings:
             _, doc, key, at, x, _, _, copies = rows[c]
-            d = xxhash.xxh3_128_digest(x[i : i + length])
+            d = xxhash.xxh3_128_digest(x[i : i + length], side)  # a context may stand in a group of each side
             for o, v in zip(out, (doc, key, at + i, at + i, d, once and copies == 1), strict=True):
                 o.append(v)
 
     def run(batches):
         now, rows, out = None, [], [[] for _ in _SORTED]
         for b in batches:
-            for h, tile, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (h, tile) != now:
-                    flush(rows, out)
-                    now, rows = (h, tile), []
+            for h, side, part, tile, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (h, side, part, tile) != now:
+                    flush(rows, out, now[1] if now else 0)
+                    now, rows = (h, side, part, tile), []
                     if len(out[0]) >= 1 << 14:
                         yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], names=_SORTED)
                         out = [[] for _ in _SORTED]
                 rows.append(row)
-        flush(rows, out)
+        flush(rows, out, now[1] if now else 0)
         yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], names=_SORTED)
 
     return run, "doc_id long, key long, first long, last long, d binary, once boolean"
@@ -326,13 +326,31 @@ def _merge(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(merged, pa.list_(pa.int64()))], names=["doc_id", "key", "starts"])
 
 
+def _parts(contexts: DataFrame, length: int) -> DataFrame:
+    """Contexts of anchors that have many, with (side, part, tiles): those that may share a string have a part in common.
+
+    A string has an anchor and `length - length // 2` bytes beside it, half of them at least on one side; so contexts that share
+    one have the same half ahead of the anchor (side 1) or behind it (side 2). Parts of one context, or of none that occurs
+    once, are left out.
+    """
+    k = length // 2
+    half = (length - k) // 2
+    ahead = F.when(F.col("lead") >= half, F.struct(F.lit(1).alias("side"), F.xxhash64(F.expr(f"substring(x, lead - {half} + 1, {half})")).alias("part")))
+    behind = F.when(F.length("x") - F.col("lead") - k >= half, F.struct(F.lit(2).alias("side"), F.xxhash64(F.expr(f"substring(x, lead + {k} + 1, {half})")).alias("part")))
+    each = contexts.withColumn("p", F.explode(F.array_compact(F.array(ahead, behind)))).select("*", "p.side", "p.part").drop("p")
+    sizes = each.groupBy("h", "side", "part").agg(F.count("*").alias("n"), F.sum((F.col("copies") == 1).cast("long")).alias("single"))
+    sizes = sizes.where("n > 1 and single > 0").select("h", "side", "part", F.ceil(F.col("n") / TILE_CONTEXTS).cast("int").alias("tiles"))
+    return each.join(sizes, ["h", "side", "part"])
+
+
 def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, key, starts): ranges of starts, flat and ascending, whose `length`-byte strings start elsewhere too.
 
     docs: doc_id, key, text. Every such string owns an anchor by content alone, so two equal strings own equal ones.
     Anchors that occur once are dropped after a count with partial sums. An anchor with all that it owns is a context: one
-    that occurs again, by 128 bits of hash, needs nothing more; the others of the same anchor meet in suffix arrays, in tiles
-    of a bounded number, and the strings of an anchor with several tiles then meet by 128-bit hash, once a tile each.
+    that occurs again, by 128 bits of hash, needs nothing more; the others of the same anchor meet in suffix arrays. Anchors
+    with many contexts are first parted by what stands ahead and behind, and parts that are still large are salted into tiles
+    of a bounded number, whose different strings then meet by 128-bit hash, once a tile each.
     No rows, and strings that are all different, give no ranges; rows that repeat a doc_id and text are one row each.
     """
     run, ddl = _anchors(length)
@@ -354,11 +372,16 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     run, ddl = _contexts(length)
     found = common.map_arrow(_by_doc(docs, marks, "inner", "marks", 48).select("doc_id", "key", "text", "marks"), run, ddl)
     # rows that repeat a doc_id and text give a context once each
-    found = found.dropDuplicates(["h", "doc_id", "key", "first"]).join(some, "h")
+    cols = ["doc_id", "key", "first", "x", "lead", "owned", "copies"]
+    found = common.cut(found.dropDuplicates(["h", "doc_id", "key", "first"]).join(some, "h").select("h", "tiles", *cols), "contexts")
     tile = F.pmod(F.xxhash64("doc_id", "key", "first"), F.col("tiles")).cast("int").alias("tile")
-    found = found.select("h", tile, "tiles", "doc_id", "key", "first", "x", "lead", "owned", "copies").repartition("h", "tile").sortWithinPartitions("h", "tile")
+    groups = found.where("tiles = 1").select("h", F.lit(0).alias("side"), F.lit(0).cast("long").alias("part"), F.lit(0).alias("tile"), "tiles", *cols)
+    parts = _parts(found.where("tiles > 1").drop("tiles"), length).select("h", "side", "part", tile, "tiles", *cols)
+    keys = ["h", "side", "part", "tile"]
+    ordered = groups.unionAll(parts).repartition(*keys).sortWithinPartitions(*keys)
     run, ddl = _sort_tiles(length)
-    found = common.cut(common.map_arrow(found, run, ddl), "sorted")
+    contexts, found = found, common.cut(common.map_arrow(ordered, run, ddl), "sorted")
+    common.drop(contexts)
     common.drop(marks)
     common.drop(some)
     spans = whole.unionAll(found.where("d is null").select("doc_id", "key", "first", "last"))
