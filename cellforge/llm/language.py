@@ -52,13 +52,13 @@ class Model:
                 if at is not None:
                     rows.append(at)
                     break
-        return self.gram_logs[rows].mean(axis=0, dtype=np.float64) if rows else np.zeros(len(self.langs))
+        return np.add.reduce(self.gram_logs[rows], axis=0, dtype=np.float64) / len(rows) if rows else np.zeros(len(self.langs))
 
 
 class Scorer:
     """Whole texts against a model, with a bounded cache of word scores."""
 
-    def __init__(self, model: Model, limit: int = 100_000):
+    def __init__(self, model: Model, limit: int = 300_000):
         self.model, self.limit = model, limit
         self.table = np.zeros((limit, len(model.langs)), np.float32)
         self.places: dict[str, int] = {}
