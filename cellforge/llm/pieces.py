@@ -45,6 +45,12 @@ class Places(dict):
         return at
 
 
+def _slot(key: np.ndarray, slots: np.ndarray, n: int) -> np.ndarray:
+    """The places of edges in the n-th table, whose size is a power of two."""
+    odd = np.uint64(0x9E3779B97F4A7C15 * (2 * n + 1) % (1 << 64))
+    return (key.astype(np.uint64) * odd >> np.uint64(65 - len(slots).bit_length())).astype(np.int64)
+
+
 class Vocabulary:
     """Pieces of a SentencePiece model, and lattices of the units that no piece crosses, side by side in bounded arrays.
 
@@ -74,13 +80,17 @@ class Vocabulary:
                 self.surface.append(piece.encode())
         if any(map(_CROSSING.search, self.pieces)):
             raise ValueError("a piece crosses a unit")
+        self.surfaces = np.array(self.surface, object)
         self.byte_weight = self.weights.min() - 1.0
         self.weights[self.bytes] = self.byte_weight
         self._trie()
         self._empty()
 
     def _trie(self) -> None:
-        """The pieces' prefix tree: sorted edges (node << 21 | character), the nodes they lead to, and each node's piece or -1."""
+        """The pieces' prefix tree: each node's edge (node << 21 | character) to it, and its piece or -1; nodes by their edge's hash.
+
+        Edges whose slot in a table is another's are in the next one.
+        """
         nodes: dict[str, int] = {"": 0}
         edges = []
         for p in sorted(self.pieces):
@@ -88,10 +98,16 @@ class Vocabulary:
                 if p[:n] not in nodes:
                     nodes[p[:n]] = len(nodes)
                     edges.append((nodes[p[: n - 1]] << 21 | ord(p[n - 1]), nodes[p[:n]]))
-        edges.sort()
-        # the last edge is none, and follows all
-        self.edges = np.array([*(k for k, _ in edges), 1 << 62], np.int64)
-        self.targets = np.array([*(n for _, n in edges), 0], np.int64)
+        self.edges = np.full(len(nodes), -1, np.int64)
+        self.edges[[n for _, n in edges]] = [k for k, _ in edges]
+        left = np.arange(1, len(nodes), dtype=np.int32)
+        self.slots = []
+        while len(left):
+            slots = np.zeros(4 << len(left).bit_length(), np.int32)
+            at = _slot(self.edges[left], slots, len(self.slots))
+            slots[at] = left
+            left = left[slots[at] != left]
+            self.slots.append(slots)
         self.roots = np.zeros(0x110000, np.int32)  # nodes of single characters; 0 for those that begin no piece
         for k, n in edges:
             if k < 1 << 21:
@@ -99,6 +115,18 @@ class Vocabulary:
         self.final = np.full(len(nodes), -1, np.int32)
         self.final[[nodes[p] for p in self.pieces]] = list(self.pieces.values())
 
+    def _edge(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nodes that edges lead to, and whether there are such edges."""
+        target = self.slots[0][_slot(key, self.slots[0], 0)]
+        known = self.edges[target] == key
+        other = np.flatnonzero(~known & (target > 0))
+        for n, slots in enumerate(self.slots[1:], 1):
+            own = key[other]
+            target[other] = node = slots[_slot(own, slots, n)]
+            known[other] = here = self.edges[node] == own
+            other = other[~here & (node > 0)]
+        return target, known
+
     def _empty(self, arcs: int = 1 << 12, nodes: int = 1 << 12, units: int = 1 << 10) -> None:
         self.places = Places()
         self.n_arcs = self.n_nodes = 0
@@ -121,10 +149,9 @@ class Vocabulary:
         while len(at):
             if step:
                 key = node << 21 | code[at + step]
-                edge = np.searchsorted(self.edges, key)
-                known, target = self.edges[edge] == key, self.targets[edge]
+                target, known = self._edge(key)
             else:
-                target = self.roots[code].astype(np.int64)
+                target = self.roots[code]
                 known = target > 0
             step += 1
             piece = np.where(known, self.final[target], -1)
@@ -137,7 +164,7 @@ class Vocabulary:
             found.append((where, np.full(len(own), step, np.int32), ids, count[where]))
             count[where] += 1
             on = known & (rest[at] > step)
-            at, node = at[on], target[on]
+            at, node = at[on], target[on].astype(np.int64)
         first = np.cumsum(count) - count
         total = int(count.sum())
         start, end, ids = (np.empty(total, np.int32) for _ in range(3))
@@ -229,19 +256,23 @@ class Vocabulary:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: pieces joined, the leading blank of the first dropped."""
-        text = b"".join(map(self.surface.__getitem__, ids.tolist())).decode("utf-8", "surrogatepass")
+        text = b"".join(self.surfaces[ids].tolist()).decode("utf-8", "surrogatepass")
         return text.replace(SPACE, " ").removeprefix(" ")
 
 
-def _uniform(*keys) -> np.ndarray:
-    """Draws in (0, 1) by a hash of whole-number keys, so that each depends on its own keys only."""
-    x = np.uint64(0)
+def _hash(*keys, x=np.uint64(0)):
+    """A hash of whole-number keys, carried on from x, that of the keys before."""
     with np.errstate(over="ignore"):  # products are meant modulo 2**64
         for k in keys:
             x = (x ^ np.asarray(k).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
             x = x ^ (x >> np.uint64(29))
-    return ((x >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
+    return x
+
+
+def _uniform(*keys, x=np.uint64(0)) -> np.ndarray:
+    """Draws in (0, 1) by a hash of whole-number keys, so that each depends on its own keys only."""
+    return ((_hash(*keys, x=x) >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
 
 
 def _gumbel_below(phi: np.ndarray, top, u: np.ndarray) -> np.ndarray:
@@ -264,14 +295,17 @@ class Lattices:
         self.end, self.ids, self.logs, self.sums, self.others = v.end, v.ids, v.logs, v.sums, v.others
         self.first, self.closes, self.node0, self.stop = v.first, v.closes, v.node0, v.stop
 
-    def paths(self, units: np.ndarray, at: np.ndarray, keys: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """One drawn path through each unit, all a step at a time: arcs in order of the units, their nodes, and how many each has."""
+    def paths(self, units: np.ndarray, at: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """One drawn path through each unit, all a step at a time: arcs in order of the units, their nodes, and how many each has.
+
+        x: a hash for each unit, from which its draws are made.
+        """
         stop, live, k = self.stop[units], np.arange(len(units)), np.zeros(len(units), np.int64)
         on = at < stop
-        live, now, stop = live[on], at[on], stop[on]
+        live, now, stop, own = live[on], at[on], stop[on], x[on]
         steps, nodes, whose, tails = [], [], [], []
         while len(live) > _FEW:
-            draw = _uniform(*(x[live] if isinstance(x, np.ndarray) else x for x in keys), len(steps))
+            draw = _uniform(len(steps), x=own)
             arc = self.first[now]
             todo = np.flatnonzero(draw >= self.sums[arc])
             while len(todo):
@@ -283,9 +317,9 @@ class Lattices:
             k[live] += 1
             now = self.end[arc]
             on = np.flatnonzero(now < stop)
-            live, now, stop = live[on], now[on], stop[on]
+            live, now, stop, own = live[on], now[on], stop[on], own[on]
         for u, at, end in zip(live.tolist(), now.tolist(), stop.tolist(), strict=True):
-            tail = self._walk(at, end, [x[u] if isinstance(x, np.ndarray) else x for x in keys], len(steps))
+            tail = self._walk(at, end, x[u], len(steps))
             tails.append((u, int(k[u]), tail))
             k[u] += len(tail)
         out, at, start = np.empty(int(k.sum()), np.int64), np.empty(int(k.sum()), np.int64), np.cumsum(k) - k
@@ -296,12 +330,12 @@ class Lattices:
             out[place], at[place] = np.array(tail, np.int64).reshape(-1, 2).T
         return out, at, k
 
-    def _walk(self, at: int, stop: int, keys: list, step: int) -> list[tuple[int, int]]:
+    def _walk(self, at: int, stop: int, x: np.uint64, step: int) -> list[tuple[int, int]]:
         """Arcs and nodes of the rest of one unit's path, drawn as paths() does from this step on."""
         out, draws, item, first, end = [], [], self.sums.item, self.first.item, self.end.item
         while at < stop:
             if not draws:
-                draws = _uniform(*keys, np.arange(step + len(out), step + len(out) + 256)).tolist()[::-1]
+                draws = _uniform(np.arange(step + len(out), step + len(out) + 256), x=x).tolist()[::-1]
             draw, arc = draws.pop(), first(at)
             while draw >= item(arc):
                 arc += 1
@@ -368,7 +402,7 @@ class Lattices:
                 break
             whose = np.array([t[0] for t in todo])
             many = np.array([len(t) for t in tails])
-            arcs, places, each = self.paths(np.concatenate(tails), np.concatenate(ats), (np.repeat(seeds[whose], many), np.concatenate(marks), 3 + r))
+            arcs, places, each = self.paths(np.concatenate(tails), np.concatenate(ats), _hash(np.concatenate(marks), 3 + r, x=np.repeat(_hash(seeds[whose]), many)))
             cuts = np.append(0, np.cumsum(each))[np.append(0, np.cumsum(many))].tolist()
             full = [np.concatenate([h, arcs[x:y]]) if len(h) else arcs[x:y] for h, x, y in zip(heads, cuts[:-1], cuts[1:], strict=True)]
             walked = [np.concatenate([h, places[x:y]]) if len(h) else places[x:y] for h, x, y in zip(begun, cuts[:-1], cuts[1:], strict=True)]
@@ -379,7 +413,9 @@ class Lattices:
             base = np.append(0.0, run)[ends - sizes]
             # what is left of each set, by the first arc that differs
             with np.errstate(divide="ignore"):
-                mass = np.where(logs > _HALF, self.others[at_node], np.log1p(-np.exp(np.minimum(logs, _HALF))))
+                mass = self.others[at_node]
+                less = np.flatnonzero(logs <= _HALF)
+                mass[less] = np.log1p(-np.exp(logs[less]))
             for (_, _, fixed, barred), e, n in zip(todo, ends.tolist(), sizes.tolist(), strict=True):
                 if n:
                     mass[e - n : e - n + fixed] = -math.inf
@@ -390,7 +426,7 @@ class Lattices:
             doc = np.repeat(np.arange(len(todo)), sizes)[spare]
             phi = run[spare] - logs[spare] - base[doc] + mass[spare]
             tops = np.array([t[1] for t in todo])
-            below = _gumbel_below(phi, tops[doc], _uniform(seeds[whose][doc], spare - (ends - sizes)[doc], 1000 + r))
+            below = _gumbel_below(phi, tops[doc], _uniform(spare - (ends - sizes)[doc], 1000 + r, x=_hash(seeds[whose])[doc]))
             edges = np.searchsorted(doc, np.arange(len(todo) + 1)).tolist()
             want = k - r
             for i, (d, g, fixed, barred) in enumerate(todo):
@@ -432,12 +468,16 @@ def sample(docs: DataFrame, model_path: str, k: int = SAMPLES, temperature: floa
                 for name, text, samples in zip(names[x:y], texts[x:y], lattices.sample(k, seeds), strict=True):
                     for r, (arcs, weight, g, inclusion) in enumerate(samples):
                         ids = lattices.piece_ids(arcs)
-                        row = (name, r, len(ids), weight, g, inclusion, zlib.crc32(ids.astype("<u4").tobytes()), vocabulary.decode(ids) == text, ids.astype(np.int32) if keep_ids else None)
+                        row = (name, r, len(ids), weight, g, inclusion, zlib.crc32(ids.astype("<u4").tobytes()), vocabulary.decode(ids) == text, ids)
                         for o, v in zip(out, row, strict=True):
                             o.append(v)
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_(), pa.list_(pa.int32()))[: 8 + keep_ids]
                 fields = ["doc_id", "sample", "n_ids", "log_prob", "perturbed", "log_inclusion", "ids_crc32", "decoded", "ids"]
-                yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, kinds, strict=False)], names=fields[: len(kinds)])
+                cols = [pa.array(o, t) for o, t in zip(out[:8], kinds, strict=False)]
+                if keep_ids:
+                    flat = np.concatenate([np.empty(0, np.int32), *out[8]]).astype(np.int32, copy=False)
+                    cols.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(out[2])), pa.int32()), pa.array(flat)))
+                yield pa.RecordBatch.from_arrays(cols, names=fields[: len(kinds)])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ddl = "doc_id long, sample int, n_ids long, log_prob double, perturbed double, log_inclusion double, ids_crc32 long, decoded boolean" + ", ids array<int>" * keep_ids
@@ -458,6 +498,7 @@ def decode(rows: DataFrame, model_path: str, temperature: float = TEMPERATURE, i
 
 
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two distinct sampled segmentations of each document, as piece ids, with their scores and checksum."""
     import public_tokenizers
 
-    return sample(common.table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep_ids=False)
+    return sample(common.table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

@@ -91,6 +91,19 @@ def test_op5(spark, docs):
     assert all(len(set(x)) == len(x) for x in pairs.values())  # distinct segmentations
 
 
+def test_op5_returns_the_segmentations(spark, docs):
+    """The ids themselves, which give the text again and have the given count and checksum."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    texts = {d.doc_id: d.text or "" for d in docs}
+    rows = run(spark, "op5_pieces").collect()
+    for r in rows:
+        assert sp.decode(r.ids) == texts[r.doc_id]
+        assert (r.n_ids, r.ids_crc32) == (len(r.ids), zlib.crc32(np.array(r.ids, "<u4").tobytes()))
+    assert {r.doc_id for r in rows} == set(texts)
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, name):
     con = duckdb.connect()
