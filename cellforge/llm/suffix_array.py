@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
 from itertools import pairwise
@@ -17,7 +18,7 @@ from cellforge.llm import common
 LENGTH = 200
 #: Bytes of a join's small side, arrays counted whole, up to which it is broadcast; beyond, both sides are shuffled.
 BROADCAST_BYTES = 64 << 20
-#: Contexts of an anchor whose suffixes one task sorts together; more are salted into tiles, whose sorted strings then meet.
+#: Contexts of an anchor whose suffixes one task sorts together; more are first halved and parted until no part has more.
 TILE_CONTEXTS = 512
 _ANCHOR, _GAP = b"\xff", b"\xfe"  # bytes that UTF-8 never has
 _LOW = np.uint64((1 << 22) - 1)
@@ -252,40 +253,33 @@ def _classes(contexts: list[tuple], length: int, trim: bool):
         yield members
 
 
-_SORTED = ["doc_id", "key", "first", "last", "d", "once"]
+_SORTED = ["doc_id", "key", "first", "last"]
 
 
-def _sort_tiles(length: int):
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
-
-    def flush(rows, out, side):
-        ranges, strings = tile_starts([(r[4], r[5], r[6]) for r in rows], length, rows[0][0] == 1) if rows else ((), ())
+def _sort_groups(length: int):
+    def flush(rows, out):
+        ranges, _ = tile_starts([(r[3], r[4], r[5]) for r in rows], length)
         for c, first, last in ranges:
-            _, doc, key, at, _, _, _, copies = rows[c]
+            doc, key, at, _, _, _, copies = rows[c]
             if copies == 1:
-                for o, v in zip(out, (doc, key, at + first, at + last, None, False), strict=True):
+                for o, v in zip(out, (doc, key, at + first, at + last), strict=True):
                     o.append(v)
-        for c, i, once in strings:
-            _, doc, key, at, x, _, _, copies = rows[c]
-            d = xxhash.xxh3_128_digest(x[i : i + length], side)  # a context may stand in a group of each side
-            for o, v in zip(out, (doc, key, at + i, at + i, d, once and copies == 1), strict=True):
-                o.append(v)
 
     def run(batches):
         now, rows, out = None, [], [[] for _ in _SORTED]
         for b in batches:
-            for h, side, part, tile, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (h, side, part, tile) != now:
-                    flush(rows, out, now[1] if now else 0)
-                    now, rows = (h, side, part, tile), []
+            for h, part, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (h, part) != now:
+                    flush(rows, out)
+                    now, rows = (h, part), []
                     if len(out[0]) >= 1 << 14:
-                        yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], names=_SORTED)
+                        yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=_SORTED)
                         out = [[] for _ in _SORTED]
                 rows.append(row)
-        flush(rows, out, now[1] if now else 0)
-        yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], names=_SORTED)
+        flush(rows, out)
+        yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=_SORTED)
 
-    return run, "doc_id long, key long, first long, last long, d binary, once boolean"
+    return run, "doc_id long, key long, first long, last long"
 
 
 def _contexts(length: int):
@@ -326,21 +320,48 @@ def _merge(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(merged, pa.list_(pa.int64()))], names=["doc_id", "key", "starts"])
 
 
-def _parts(contexts: DataFrame, length: int) -> DataFrame:
-    """Contexts of anchors that have many, with (side, part, tiles): those that may share a string have a part in common.
+_CONTEXT = ["doc_id", "key", "first", "x", "lead", "owned", "copies"]
+
 
-    A string has an anchor and `length - length // 2` bytes beside it, half of them at least on one side; so contexts that share
-    one have the same half ahead of the anchor (side 1) or behind it (side 2). Parts of one context, or of none that occurs
-    once, are left out.
+def _halves(contexts: DataFrame, length: int) -> DataFrame:
+    """Each context as two, of the starts that have from `low` to `high` bytes ahead of the anchor, for either half of its range.
+
+    Two that share a string of such a half have the same `low` bytes ahead of the anchor and the same behind it that a string
+    with `high` ahead has left: their part is a hash of those. Each keeps only the bytes that its own starts' strings cover.
     """
     k = length // 2
-    half = (length - k) // 2
-    ahead = F.when(F.col("lead") >= half, F.struct(F.lit(1).alias("side"), F.xxhash64(F.expr(f"substring(x, lead - {half} + 1, {half})")).alias("part")))
-    behind = F.when(F.length("x") - F.col("lead") - k >= half, F.struct(F.lit(2).alias("side"), F.xxhash64(F.expr(f"substring(x, lead + {k} + 1, {half})")).alias("part")))
-    each = contexts.withColumn("p", F.explode(F.array_compact(F.array(ahead, behind)))).select("*", "p.side", "p.part").drop("p")
-    sizes = each.groupBy("h", "side", "part").agg(F.count("*").alias("n"), F.sum((F.col("copies") == 1).cast("long")).alias("single"))
-    sizes = sizes.where("n > 1 and single > 0").select("h", "side", "part", F.ceil(F.col("n") / TILE_CONTEXTS).cast("int").alias("tiles"))
-    return each.join(sizes, ["h", "side", "part"])
+    rest = length - k
+    middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
+    each = contexts.withColumn("half", F.explode(F.array(F.struct(F.col("low"), middle.alias("high")), F.struct((middle + 1).alias("low"), F.col("high")))))
+    each = each.withColumns({"low": F.col("half.low"), "high": F.col("half.high")})
+    each = each.withColumns({"most": F.least("high", "lead"), "least": F.expr("greatest(low, lead - owned + 1)")}).where("least <= most")
+    each = each.withColumns({"first": F.expr("first + lead - most"), "x": F.expr(f"substring(x, lead - most + 1, most - least + {length})")})
+    each = each.withColumn("part", F.expr(f"xxhash64(low, high, substring(x, most - low + 1, low + {k} + {rest} - high))"))
+    return each.withColumns({"lead": F.col("most"), "owned": F.expr("most - least + 1")}).select("h", "part", "low", "high", *_CONTEXT)
+
+
+def _narrow(contexts: DataFrame, length: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(ranges, parts) of contexts of anchors that have many: starts found on the way, and parts with `n`, their contexts.
+
+    Contexts are halved and parted until no part has more than TILE_CONTEXTS different ones. Of equal ones all starts are
+    found, and one goes on, for others to meet; parts of one context, or of none that occurs once, are done. Larger parts than
+    TILE_CONTEXTS are halved in their turn. A half of one start is all of its string, so halving ends.
+    """
+    ranges, parts = [], []
+    now = contexts.withColumns({"low": F.lit(0), "high": F.lit(length - length // 2)})
+    same = ["h", "part", "low", "high", "x", "lead", "owned"]
+    while not now.isEmpty():
+        halves = common.cut(_halves(now, length), "halves")
+        classes = halves.groupBy(*same).agg(F.sum("copies").alias("copies"), F.min(F.struct("doc_id", "key", "first")).alias("r"))
+        classes = common.cut(classes.select(*same, "copies", "r.doc_id", "r.key", "r.first"), "halved")
+        found = halves.where("copies = 1").join(classes.where("copies > 1").select(*same), same, "left_semi")
+        ranges.append(common.cut(found.select("doc_id", "key", "first", (F.col("first") + F.col("owned") - 1).alias("last")), "equal"))
+        common.drop(halves)
+        sizes = classes.groupBy("h", "part").agg(F.count("*").alias("n"), F.sum((F.col("copies") == 1).cast("long")).alias("single"))
+        parts.append(common.cut(classes.join(sizes.where("n > 1 and single > 0").select("h", "part", "n"), ["h", "part"]), "parts"))
+        common.drop(classes)
+        now = parts[-1].where((F.col("n") > TILE_CONTEXTS) & (F.col("low") < F.col("high"))).select("h", "low", "high", *_CONTEXT)
+    return ranges, parts
 
 
 def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -348,9 +369,8 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     docs: doc_id, key, text. Every such string owns an anchor by content alone, so two equal strings own equal ones.
     Anchors that occur once are dropped after a count with partial sums. An anchor with all that it owns is a context: one
-    that occurs again, by 128 bits of hash, needs nothing more; the others of the same anchor meet in suffix arrays. Anchors
-    with many contexts are first parted by what stands ahead and behind, and parts that are still large are salted into tiles
-    of a bounded number, whose different strings then meet by 128-bit hash, once a tile each.
+    that occurs again, by 128 bits of hash, needs nothing more; the others of the same anchor meet in suffix arrays. Contexts
+    of anchors with many are first halved and parted by what stands ahead and behind, until no part has many.
     No rows, and strings that are all different, give no ranges; rows that repeat a doc_id and text are one row each.
     """
     run, ddl = _anchors(length)
@@ -362,7 +382,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     rep = F.min(F.struct("doc_id", "key", "first", "owned", "lead")).alias("r")
     classes = common.cut(rows.groupBy("h", "c").agg(F.count("*").alias("copies"), rep), "classes")
     some = classes.groupBy("h").agg(F.count("*").alias("contexts"), F.sum((F.col("copies") == 1).cast("long")).alias("single"))
-    some = common.cut(some.where("contexts > 1 and single > 0").select("h", F.ceil(F.col("contexts") / TILE_CONTEXTS).cast("int").alias("tiles")), "some")
+    some = common.cut(some.where("contexts > 1 and single > 0").select("h", (F.col("contexts") > TILE_CONTEXTS).alias("many")), "some")
     whole = rows.join(classes.where("copies > 1").select("h", "c"), ["h", "c"])
     whole = common.cut(whole.select("doc_id", "key", "first", (F.col("first") + F.col("owned") - 1).alias("last")), "whole")
     common.drop(rows)
@@ -372,26 +392,19 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     run, ddl = _contexts(length)
     found = common.map_arrow(_by_doc(docs, marks, "inner", "marks", 48).select("doc_id", "key", "text", "marks"), run, ddl)
     # rows that repeat a doc_id and text give a context once each
-    cols = ["doc_id", "key", "first", "x", "lead", "owned", "copies"]
-    found = common.cut(found.dropDuplicates(["h", "doc_id", "key", "first"]).join(some, "h").select("h", "tiles", *cols), "contexts")
-    tile = F.pmod(F.xxhash64("doc_id", "key", "first"), F.col("tiles")).cast("int").alias("tile")
-    groups = found.where("tiles = 1").select("h", F.lit(0).alias("side"), F.lit(0).cast("long").alias("part"), F.lit(0).alias("tile"), "tiles", *cols)
-    parts = _parts(found.where("tiles > 1").drop("tiles"), length).select("h", "side", "part", tile, "tiles", *cols)
-    keys = ["h", "side", "part", "tile"]
-    ordered = groups.unionAll(parts).repartition(*keys).sortWithinPartitions(*keys)
-    run, ddl = _sort_tiles(length)
-    contexts, found = found, common.cut(common.map_arrow(ordered, run, ddl), "sorted")
-    common.drop(contexts)
-    common.drop(marks)
-    common.drop(some)
-    spans = whole.unionAll(found.where("d is null").select("doc_id", "key", "first", "last"))
-    strings = found.where("d is not null")
-    again = strings.groupBy("d").count().where("count > 1").select("d")
-    spans = spans.unionAll(strings.where("once").join(again, "d").select("doc_id", "key", "first", "last"))
-    spans = spans.distinct().groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    found = common.cut(found.dropDuplicates(["h", "doc_id", "key", "first"]).join(some, "h").select("h", "many", *_CONTEXT), "contexts")
+    ranges, parts = _narrow(found.where("many").drop("many"), length)
+    groups = [found.where("not many").withColumn("part", F.lit(0).cast("long")), *(p.where(F.col("n") <= TILE_CONTEXTS) for p in parts)]
+    groups = functools.reduce(DataFrame.unionAll, [g.select("h", "part", *_CONTEXT) for g in groups])
+    ordered = groups.repartition("h", "part").sortWithinPartitions("h", "part")
+    run, ddl = _sort_groups(length)
+    read = [whole, *ranges, common.cut(common.map_arrow(ordered, run, ddl), "sorted")]
+    for t in (found, marks, some, *parts):
+        common.drop(t)
+    spans = functools.reduce(DataFrame.unionAll, read).distinct().groupBy("doc_id", "key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     out = common.cut(common.map_arrow(spans, _merge, "doc_id long, key long, starts array<long>"), "starts")
-    common.drop(found)
-    common.drop(whole)
+    for t in read:
+        common.drop(t)
     return out
 
 

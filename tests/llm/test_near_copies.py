@@ -152,3 +152,26 @@ def test_repeats_against_brute_force(spark, odd, none, monkeypatch, cap):
     out = suffix_array.remove_repeats(odd).collect()
     assert len(out) == odd.count() and {r.n_removed for r in out if r.doc_id == 6} == {5000} and {r.n_bytes for r in out if r.doc_id in (1, 2)} == {0}
     assert suffix_array.remove_repeats(none).count() == 0
+
+
+def test_many_near_copies_are_sorted_as_few_ranges(spark, monkeypatch):
+    """One text with an edit of a byte here and there: rows made by sorting follow the contexts, not their strings."""
+    monkeypatch.setattr(suffix_array, "TILE_CONTEXTS", 8)
+    rng = random.Random(4)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(700))
+    texts = [base]
+    for _ in range(150):
+        at = rng.randrange(len(base))
+        texts.append(base[:at] + rng.choice("ABCDEFGHIJ") + base[at + rng.randrange(2) :])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made, cut = Counter(), common.cut
+
+    def counted(df, label="cut"):
+        out = cut(df, label)
+        made[label] += out.count()
+        return out
+
+    monkeypatch.setattr(common, "cut", counted)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_array.remove_repeats(docs).collect()}
+    assert got == dict(enumerate(brute_repeats(texts, 200)))
+    assert made["sorted"] <= 4 * made["contexts"], made
