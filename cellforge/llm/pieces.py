@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 import heapq
 import itertools
 import math
@@ -31,6 +32,8 @@ ARCS = 1 << 21
 _HALF = math.log(0.5)
 #: Characters of a unit, and units left in a step, beyond and below which they are walked one by one rather than side by side.
 _LONG, _FEW = 1 << 10, 4
+#: Gumbel draws of 52 bits are from -3.7 to 36.8; log odds below a path's own within which its best splits are sought first.
+_SPAN, _NEAR = 41.0, 60.0
 
 
 class Places(dict):
@@ -360,6 +363,43 @@ class Lattices:
         p = np.exp(self.logs[own] - self.logs[own].max()).cumsum()
         return own[min(int(np.searchsorted(p, u * p[-1], "right")), len(own) - 1)]
 
+    def _left(self, todo: list, flat, at_node, logs, run, base, starts, ends, want: int):
+        """(path, arc, log mass) of what is left by the first arc that differs, for all that can be among a path's `want` best.
+
+        Masses are at most the odds of the path before, which sink along it, so most arcs of a long path are out of reach of
+        any draw: draws differ by under _SPAN. Paths whose nearer arcs don't show that are looked at whole.
+        """
+        free = starts + np.array([t[2] for t in todo])
+        before = run - logs
+        some = np.flatnonzero(ends > starts)
+        floor = np.full(len(todo), -math.inf)
+        floor[some] = before[free[some]] - _NEAR
+        whose = np.repeat(np.arange(len(todo)), ends - starts)
+        late = np.arange(len(flat)) >= free[whose]
+        while True:
+            spare = np.flatnonzero(late & (before >= floor[whose]))
+            own, node = logs[spare], at_node[spare]
+            mass = self.others[node]
+            less = np.flatnonzero(own <= _HALF)
+            with np.errstate(divide="ignore"):
+                mass[less] = np.log1p(-np.exp(own[less]))
+            for (_, _, _, barred), at in zip(todo, free.tolist(), strict=True):
+                if barred:
+                    mass[np.searchsorted(spare, at)] = self._spare(int(at_node[at]), (*barred, int(flat[at])))
+            kept = mass > -math.inf
+            spare, mass = spare[kept], mass[kept]
+            doc = whose[spare]
+            phi = before[spare] - base[doc] + mass
+            edges = np.searchsorted(doc, np.arange(len(todo) + 1)).tolist()
+            wide = []
+            for d in np.flatnonzero(floor > -math.inf).tolist():
+                x = phi[edges[d] : edges[d + 1]]
+                if len(x) < want or np.partition(x, -want)[-want] - _SPAN < floor[d] - base[d]:
+                    wide.append(d)
+            if not wide:
+                return doc, spare, phi
+            floor[wide] = -math.inf
+
     def sample(self, k: int, seeds: list[int]):
         """For each text, its k segmentations of largest perturbed log probability: (arcs, log probability, perturbed, log inclusion).
 
@@ -412,21 +452,10 @@ class Lattices:
             run = np.cumsum(logs)
             base = np.append(0.0, run)[ends - sizes]
             # what is left of each set, by the first arc that differs
-            with np.errstate(divide="ignore"):
-                mass = self.others[at_node]
-                less = np.flatnonzero(logs <= _HALF)
-                mass[less] = np.log1p(-np.exp(logs[less]))
-            for (_, _, fixed, barred), e, n in zip(todo, ends.tolist(), sizes.tolist(), strict=True):
-                if n:
-                    mass[e - n : e - n + fixed] = -math.inf
-                    if barred:
-                        at = e - n + fixed
-                        mass[at] = self._spare(int(at_node[at]), (*barred, int(flat[at])))
-            spare = np.flatnonzero(mass > -math.inf)
-            doc = np.repeat(np.arange(len(todo)), sizes)[spare]
-            phi = run[spare] - logs[spare] - base[doc] + mass[spare]
+            starts = ends - sizes
+            doc, spare, phi = self._left(todo, flat, at_node, logs, run, base, starts, ends, k - r)
             tops = np.array([t[1] for t in todo])
-            below = _gumbel_below(phi, tops[doc], _uniform(spare - (ends - sizes)[doc], 1000 + r, x=_hash(seeds[whose])[doc]))
+            below = _gumbel_below(phi, tops[doc], _uniform(spare - starts[doc], 1000 + r, x=_hash(seeds[whose])[doc]))
             edges = np.searchsorted(doc, np.arange(len(todo) + 1)).tolist()
             want = k - r
             for i, (d, g, fixed, barred) in enumerate(todo):
@@ -446,7 +475,9 @@ class Lattices:
 
 @functools.lru_cache(maxsize=2)
 def _vocabulary(path: str, temperature: float) -> Vocabulary:
-    return Vocabulary(path, temperature)
+    out = Vocabulary(path, temperature)
+    gc.freeze()  # modules and pieces stay as long as the worker, so that collections needn't walk them
+    return out
 
 
 def sample(docs: DataFrame, model_path: str, k: int = SAMPLES, temperature: float = TEMPERATURE, seed: int = 5, keep_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
