@@ -9,6 +9,7 @@ import itertools
 import math
 import re
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from cellforge.llm import common
 SAMPLES, TEMPERATURE = 2, 2000.0
 SPACE = "▁"
 _LETTERS, _MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r"!-/:-@\[-`{-~"
-_UNIT = re.compile(rf"\n|{SPACE}*[{_LETTERS}]++(?=[{_MARKS}{SPACE}\n]|\Z)|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
+_UNIT = re.compile(rf"{SPACE}*+(?:[{_LETTERS}]++(?![^{_MARKS}{SPACE}\n])|[^{SPACE}\n]++)|\n|{SPACE}++")
 _CROSSING = re.compile(rf"[{_LETTERS}][{_MARKS}]|[^{SPACE}]{SPACE}|\n")
 
 
@@ -36,16 +37,9 @@ _LONG, _FEW = 1 << 10, 4
 _SPAN, _NEAR = 41.0, 60.0
 
 
-class Places(dict):
-    """Numbers of units in order of their first sight; `new` are those since it was last emptied."""
-
-    def __init__(self):
-        self.new: list[str] = []
-
-    def __missing__(self, unit: str) -> int:
-        at = self[unit] = len(self)
-        self.new.append(unit)
-        return at
+def _places(units=()) -> defaultdict[str, int]:
+    """Numbers of units in order of their first sight, these units first."""
+    return defaultdict(itertools.count(len(units)).__next__, zip(units, range(len(units)), strict=True))
 
 
 def _slot(key: np.ndarray, slots: np.ndarray, n: int) -> np.ndarray:
@@ -131,12 +125,40 @@ class Vocabulary:
         return target, known
 
     def _empty(self, arcs: int = 1 << 12, nodes: int = 1 << 12, units: int = 1 << 10) -> None:
-        self.places = Places()
+        self.places = _places()
         self.n_arcs = self.n_nodes = 0
         self.end, self.ids = np.empty(arcs, np.int32), np.empty(arcs, np.int32)
         self.logs, self.sums, self.others = np.empty(arcs), np.empty(arcs, np.float32), np.empty(nodes)
         self.first, self.closes = np.zeros(nodes + 1, np.int32), np.zeros(nodes + 1, bool)
-        self.node0, self.stop = np.empty(units, np.int32), np.empty(units, np.int32)
+        self.node0, self.stop, self.seen = np.empty(units, np.int32), np.empty(units, np.int32), np.zeros(units)
+
+    def _renew(self) -> None:
+        """Full arrays keep the units met most often, of those met again, in three quarters of their room; counts fade by a tenth."""
+        units = len(self.places)
+        node0, stop, seen = self.node0[:units], self.stop[:units], self.seen[:units]
+        arcs = self.first[stop] - self.first[node0]
+        best = np.argsort(-seen, kind="stable")
+        best = best[: np.searchsorted(np.cumsum(arcs[best], dtype=np.int64), 3 * self.limit // 4, "right")]
+        kept = np.sort(best[seen[best] >= 2])
+        size, arcs = (stop - node0)[kept], arcs[kept]
+        stops = np.cumsum(size, dtype=np.int32)
+        back = node0[kept] - (stops - size)  # how far a unit's nodes go down
+        of = np.repeat(np.arange(len(kept)), size)
+        nodes = np.arange(len(of)) + back[of]
+        count = np.diff(self.first[: self.n_nodes + 1])[nodes]
+        a = np.arange(int(arcs.sum())) + np.repeat(self.first[node0[kept]] - (np.cumsum(arcs) - arcs), arcs)
+        self.end[: len(a)] = self.end[a] - np.repeat(back, arcs)
+        for old in (self.ids, self.logs, self.sums):
+            old[: len(a)] = old[a]
+        self.others[: len(nodes)] = self.others[nodes]
+        self.first[0], self.first[1 : len(nodes) + 1] = 0, np.cumsum(count)
+        self.closes[: self.n_nodes + 1] = False
+        self.closes[stops] = True
+        self.seen[: len(kept)] = 0.9 * seen[kept]
+        self.node0[: len(kept)], self.stop[: len(kept)] = stops - size, stops
+        self.n_arcs, self.n_nodes = len(a), len(nodes)
+        names = list(self.places)
+        self.places = _places([names[k] for k in kept.tolist()])
 
     def _arcs(self, texts: list[str]):
         """(start, end, id, log weight, arcs of each node) of all pieces in the texts, one after another, by start and end.
@@ -164,18 +186,20 @@ class Vocabulary:
                 bare = np.flatnonzero(ids < 0)
                 ids[bare] = np.where(code[bare] < 128, self.bytes[np.minimum(code[bare], 127)], -1 - code[bare])
             where = at[own]
-            found.append((where, np.full(len(own), step, np.int32), ids, count[where]))
+            found.append((where, step, ids, count[where]))
             count[where] += 1
             on = known & (rest[at] > step)
             at, node = at[on], target[on].astype(np.int64)
         first = np.cumsum(count) - count
-        total = int(count.sum())
-        start, end, ids = (np.empty(total, np.int32) for _ in range(3))
+        start = np.repeat(np.arange(len(code), dtype=np.int32), count)
+        end, ids = np.empty(len(start), np.int32), np.empty(len(start), np.int32)
         for where, length, piece, rank in found:
             to = first[where] + rank
-            start[to], end[to], ids[to] = where, where + length, piece
-        c = np.maximum(-1 - ids.astype(np.int64), 0)
-        w = np.where(c > 0, self.byte_weight * (2.0 + (c > 0x7FF) + (c > 0xFFFF)), self.weights[np.maximum(ids, 0)])
+            end[to], ids[to] = where + length, piece
+        w = self.weights.take(ids, mode="clip")
+        bare = np.flatnonzero(ids < 0)
+        c = -1 - ids[bare]
+        w[bare] = self.byte_weight * (2.0 + (c > 0x7FF) + (c > 0xFFFF))
         return size, rest, start, end, ids, w, count
 
     def _add(self, new: list[str]) -> None:
@@ -186,7 +210,7 @@ class Vocabulary:
         # a unit's end has rest 0, though it is the next one's first node
         stops = np.cumsum(size)
         rest = np.zeros(nodes + 1)
-        level = left[start]
+        level = np.repeat(left, count)
         ends_unit = level == end - start
         first = np.append(0, np.cumsum(count, dtype=np.int64))
         long = size > _LONG
@@ -205,21 +229,25 @@ class Vocabulary:
         for u in np.flatnonzero(long).tolist():
             self._weigh(w, end, first, int(stops[u] - size[u]), int(stops[u]))
         # running sums within a node; any draw ends at its last arc at the latest
-        run = np.append(0.0, np.cumsum(np.exp(w)))
+        odds = np.exp(w)
+        run = np.append(0.0, np.cumsum(odds))
         sums = run[1:] - np.repeat(run[first[:-1]], count)
         sums[first[1:] - 1] = 2.0
         # log probability of a node's arcs but that of over a half, by their own sum, so that none is lost to rounding
-        rest = np.where(w > _HALF, -np.inf, w)
+        most = np.flatnonzero(w > _HALF)
+        odds[most] = 0.0
         with np.errstate(divide="ignore"):
-            others = np.log(np.add.reduceat(np.exp(rest), first[:-1]))
+            others = np.log(np.add.reduceat(odds, first[:-1]))
         low = np.flatnonzero((others < -600) & (count > 1))
         if len(low):
+            rest = w.copy()
+            rest[most] = -np.inf
             own = np.repeat(first[low] - np.append(0, np.cumsum(count[low])[:-1]), count[low]) + np.arange(int(count[low].sum()))
             head = np.append(0, np.cumsum(count[low])[:-1])
             top = np.maximum.reduceat(rest[own], head)
             others[low] = top + np.log(np.add.reduceat(np.exp(rest[own] - np.repeat(top, count[low])), head))
         a, n, u = self.n_arcs, self.n_nodes, len(self.places) - len(new)
-        for name, used, more in (("end", a, arcs), ("ids", a, arcs), ("logs", a, arcs), ("sums", a, arcs), ("others", n, nodes), ("first", n, nodes + 1), ("closes", n, nodes + 1), ("node0", u, len(new)), ("stop", u, len(new))):
+        for name, used, more in (("end", a, arcs), ("ids", a, arcs), ("logs", a, arcs), ("sums", a, arcs), ("others", n, nodes), ("first", n, nodes + 1), ("closes", n, nodes + 1), ("node0", u, len(new)), ("stop", u, len(new)), ("seen", u, len(new))):
             old = getattr(self, name)
             if used + more > len(old):
                 grown = np.zeros(max(2 * len(old), used + more), old.dtype)
@@ -230,7 +258,7 @@ class Vocabulary:
         self.others[n : n + nodes] = others
         self.first[n : n + nodes + 1] = first + a
         self.closes[n + stops] = True
-        self.node0[u : u + len(new)], self.stop[u : u + len(new)] = n + stops - size, n + stops
+        self.node0[u : u + len(new)], self.stop[u : u + len(new)], self.seen[u : u + len(new)] = n + stops - size, n + stops, 0
         self.n_arcs, self.n_nodes = a + arcs, n + nodes
 
     @staticmethod
@@ -247,35 +275,55 @@ class Vocabulary:
                 weight[a] = h - total
         w[x:y] = weight
 
-    def units(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """The places of each text's units; those of earlier calls don't hold any more, as full arrays start anew."""
+    def units(self, texts: list[str]) -> list[np.ndarray]:
+        """The places of each text's units; those of earlier calls don't hold any more, as full arrays make room."""
         if self.n_arcs > self.limit:
-            self._empty()
-        flat = list(map(self.places.__getitem__, itertools.chain.from_iterable(texts)))
-        if self.places.new:
-            self._add(self.places.new)
-            self.places.new = []
-        return np.split(np.array(flat, np.int64), np.cumsum([len(t) for t in texts])[:-1]) if texts else []
+            self._renew()
+        before, flat, ends, get = len(self.places), [], [], self.places.__getitem__
+        for text in texts:
+            if text:
+                flat += map(get, _UNIT.findall(SPACE + text.replace(" ", SPACE)))
+            ends.append(len(flat))
+        flat = np.array(flat, np.int64)
+        if len(self.places) > before:
+            self._add(list(itertools.islice(reversed(self.places), len(self.places) - before))[::-1])
+        self.seen[: len(self.places)] += np.bincount(flat, minlength=len(self.places))
+        return np.split(flat, ends[:-1]) if texts else []
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: pieces joined, the leading blank of the first dropped."""
         text = b"".join(self.surfaces[ids].tolist()).decode("utf-8", "surrogatepass")
         return text.replace(SPACE, " ").removeprefix(" ")
 
+    def gives(self, ids: np.ndarray, ends: np.ndarray, texts: list[str]) -> list[bool]:
+        """Whether the ids up to each end give these texts again, by the pieces' bytes unless a text holds their mark of a blank."""
+        joined, start, out = b"".join, 0, []
+        spelt = self.surfaces[ids].tolist()
+        for text, end in zip(texts, ends.tolist(), strict=True):
+            marked = (SPACE + text.replace(" ", SPACE)).encode("utf-8", "surrogatepass") if text and SPACE not in text else b""
+            out.append(joined(spelt[start:end]) == marked or self.decode(ids[start:end]) == text)
+            start = end
+        return out
+
 
 def _hash(*keys, x=np.uint64(0)):
     """A hash of whole-number keys, carried on from x, that of the keys before."""
     with np.errstate(over="ignore"):  # products are meant modulo 2**64
         for k in keys:
-            x = (x ^ np.asarray(k).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-            x = x ^ (x >> np.uint64(29))
+            x = x ^ np.asarray(k).astype(np.uint64)
+            x *= np.uint64(0x9E3779B97F4A7C15)
+            x ^= x >> np.uint64(32)
+            x *= np.uint64(0xD6E8FEB86659FD93)
+            x ^= x >> np.uint64(29)
     return x
 
 
 def _uniform(*keys, x=np.uint64(0)) -> np.ndarray:
     """Draws in (0, 1) by a hash of whole-number keys, so that each depends on its own keys only."""
-    return ((_hash(*keys, x=x) >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
+    out = (_hash(*keys, x=x) >> np.uint64(12)).astype(np.float64)
+    out += 0.5
+    out *= 2.0**-52
+    return out
 
 
 def _gumbel_below(phi: np.ndarray, top, u: np.ndarray) -> np.ndarray:
@@ -294,7 +342,7 @@ class Lattices:
 
     def __init__(self, vocabulary: Vocabulary, texts: list[str]):
         v = self.vocabulary = vocabulary
-        self.docs = v.units([_UNIT.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts])
+        self.docs = v.units(texts)
         self.end, self.ids, self.logs, self.sums, self.others = v.end, v.ids, v.logs, v.sums, v.others
         self.first, self.closes, self.node0, self.stop = v.first, v.closes, v.node0, v.stop
 
@@ -309,18 +357,21 @@ class Lattices:
         steps, nodes, whose, tails = [], [], [], []
         while len(live) > _FEW:
             draw = _uniform(len(steps), x=own)
-            arc = self.first[now]
-            todo = np.flatnonzero(draw >= self.sums[arc])
+            arc = self.first.take(now).astype(np.int64)
+            todo = np.flatnonzero(draw >= self.sums.take(arc))
+            some, high = arc.take(todo), draw.take(todo)
             while len(todo):
-                arc[todo] += 1
-                todo = todo[draw[todo] >= self.sums[arc[todo]]]
+                some += 1
+                on = high >= self.sums.take(some)
+                arc[todo] = some
+                todo, some, high = todo[on], some[on], high[on]
             steps.append(arc)
             nodes.append(now)
             whose.append(live)
             k[live] += 1
-            now = self.end[arc]
+            now = self.end.take(arc)
             on = np.flatnonzero(now < stop)
-            live, now, stop, own = live[on], now[on], stop[on], own[on]
+            live, now, stop, own = live.take(on), now.take(on), stop.take(on), own.take(on)
         for u, at, end in zip(live.tolist(), now.tolist(), stop.tolist(), strict=True):
             tail = self._walk(at, end, x[u], len(steps))
             tails.append((u, int(k[u]), tail))
@@ -347,10 +398,21 @@ class Lattices:
         return out
 
     def piece_ids(self, arcs: np.ndarray) -> np.ndarray:
-        ids = self.ids[arcs]
-        if (ids < 0).any():
-            ids = np.concatenate([[i] if i >= 0 else self.vocabulary.bytes[list(chr(-1 - i).encode("utf-8", "surrogatepass"))] for i in ids.tolist()])
-        return ids
+        return self.all_piece_ids([arcs])[0]
+
+    def all_piece_ids(self, paths: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some paths, one after another, and where each path's end."""
+        ids, ends = self.ids[np.concatenate(paths)], np.cumsum([len(p) for p in paths])
+        bare = np.flatnonzero(ids < 0)
+        if len(bare):
+            spelt = [self.vocabulary.bytes[list(chr(-1 - i).encode("utf-8", "surrogatepass"))] for i in ids[bare].tolist()]
+            count = np.ones(len(ids), np.int64)
+            count[bare] = [len(x) for x in spelt]
+            after = np.append(0, np.cumsum(count))
+            ids, first = np.repeat(ids, count), after[bare]
+            ids[np.repeat(first - (np.cumsum(count[bare]) - count[bare]), count[bare]) + np.arange(int(count[bare].sum()))] = np.concatenate(spelt)
+            ends = after[ends]
+        return ids, ends
 
     def _spare(self, node: int, barred: tuple[int, ...]) -> float:
         """Log probability of a node's arcs but the barred ones."""
@@ -447,7 +509,8 @@ class Lattices:
             full = [np.concatenate([h, arcs[x:y]]) if len(h) else arcs[x:y] for h, x, y in zip(heads, cuts[:-1], cuts[1:], strict=True)]
             walked = [np.concatenate([h, places[x:y]]) if len(h) else places[x:y] for h, x, y in zip(begun, cuts[:-1], cuts[1:], strict=True)]
             sizes = np.array([len(f) for f in full])
-            flat, ends, at_node = np.concatenate(full), np.cumsum(sizes), np.concatenate(walked)
+            flat, at_node = (np.concatenate(full), np.concatenate(walked)) if r else (arcs, places)
+            ends = np.cumsum(sizes)
             logs = self.logs[flat]
             run = np.cumsum(logs)
             base = np.append(0.0, run)[ends - sizes]
@@ -462,7 +525,7 @@ class Lattices:
                 path, e, n = full[i], int(ends[i]), int(sizes[i])
                 found[d].append((path, float(run[e - 1] - base[i]) if n else 0.0, g))
                 own = below[edges[i] : edges[i + 1]]
-                best = np.argpartition(-own, want)[:want] if len(own) > want else range(len(own))
+                best = [int(own.argmax())] if want == 1 and len(own) else np.argpartition(-own, want)[:want] if len(own) > want else range(len(own))
                 for j in best:
                     at = int(spare[edges[i] + j]) - (e - n)
                     heapq.heappush(heaps[d], (-float(own[j]), r * (1 << 40) + at, (path, walked[i], at, (*(barred if at == fixed else ()), int(path[at])))))
@@ -493,22 +556,20 @@ def sample(docs: DataFrame, model_path: str, k: int = SAMPLES, temperature: floa
         for b in batches:
             names, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
             for x, y in common.slices(texts, 1 << 18):
-                out = [[] for _ in range(9)]
                 lattices = Lattices(vocabulary, texts[x:y])
                 seeds = [xxhash.xxh64_intdigest(f"{seed}:{n}:".encode() + t.encode("utf-8", "surrogatepass")) for n, t in zip(names[x:y], texts[x:y], strict=True)]
-                for name, text, samples in zip(names[x:y], texts[x:y], lattices.sample(k, seeds), strict=True):
-                    for r, (arcs, weight, g, inclusion) in enumerate(samples):
-                        ids = lattices.piece_ids(arcs)
-                        row = (name, r, len(ids), weight, g, inclusion, zlib.crc32(ids.astype("<u4").tobytes()), vocabulary.decode(ids) == text, ids)
-                        for o, v in zip(out, row, strict=True):
-                            o.append(v)
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_(), pa.list_(pa.int32()))[: 8 + keep_ids]
-                fields = ["doc_id", "sample", "n_ids", "log_prob", "perturbed", "log_inclusion", "ids_crc32", "decoded", "ids"]
-                cols = [pa.array(o, t) for o, t in zip(out[:8], kinds, strict=False)]
+                out = [(n, t, r, *s) for n, t, found in zip(names[x:y], texts[x:y], lattices.sample(k, seeds), strict=True) for r, s in enumerate(found)]
+                doc, own, rank, paths, weight, perturbed, inclusion = map(list, zip(*out, strict=True))
+                ids, ends = lattices.all_piece_ids(paths)
+                offsets, raw = np.append(0, ends), memoryview(ids.astype("<i4", copy=False)).cast("B")
+                sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in itertools.pairwise(offsets.tolist())]
+                columns = (doc, rank, np.diff(offsets), weight, perturbed, inclusion, sums, vocabulary.gives(ids, ends, own))
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_())
+                cols = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
                 if keep_ids:
-                    flat = np.concatenate([np.empty(0, np.int32), *out[8]]).astype(np.int32, copy=False)
-                    cols.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(out[2])), pa.int32()), pa.array(flat)))
-                yield pa.RecordBatch.from_arrays(cols, names=fields[: len(kinds)])
+                    cols.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids)))
+                fields = ["doc_id", "sample", "n_ids", "log_prob", "perturbed", "log_inclusion", "ids_crc32", "decoded", "ids"]
+                yield pa.RecordBatch.from_arrays(cols, names=fields[: len(cols)])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ddl = "doc_id long, sample int, n_ids long, log_prob double, perturbed double, log_inclusion double, ids_crc32 long, decoded boolean" + ", ids array<int>" * keep_ids
