@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
+import struct
 import zlib
 from array import array
 
@@ -19,6 +20,8 @@ BLOCK = 128
 #: Simple-8b selectors as (ids in a word, bits of each); selector 0 is the escape: the next word is one raw id.
 SELECTORS = [(1, 64), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 COUNT = np.array([n for n, _ in SELECTORS])
+#: Bits of the ids that most vocabularies have.
+_WIDTHS = np.frexp(np.arange(1 << 16))[1].astype(np.uint8)
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -32,7 +35,10 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     size = np.full(blocks, BLOCK)
     size[-1] = len(ids) - BLOCK * (blocks - 1)
     width = np.zeros((blocks, 2 * BLOCK), np.uint8)
-    if int(ids.max()) < 1 << 53:
+    most = int(ids.max())
+    if most < len(_WIDTHS):
+        width[:, :BLOCK] = _WIDTHS.take(v.view(np.int64))
+    elif most < 1 << 53:
         width[:, :BLOCK] = np.frexp(v.astype(np.float64))[1]
     else:
         top = v.copy()
@@ -77,18 +83,21 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if s == 0:
             words[place[k] + 1] = flat[start[k]]
             continue
-        word, first = np.full(len(k), s, np.uint64), start[k]
+        word, at = np.full(len(k), s, np.uint64), start[k]
         for j in range(n if w else 0):
-            word |= flat[first + j] << np.uint64(4 + w * j)
+            word |= flat[at] << np.uint64(4 + w * j)
+            at += 1
         words[place[k]] = word
     return words, slots.astype(np.uint16)
 
 
 def unpack(words: np.ndarray, block_words: np.ndarray, n: int) -> np.ndarray:
     """The n ids of pack()."""
-    out = np.zeros(-(-n // BLOCK) * BLOCK + BLOCK, np.uint64)
     if not n:
-        return out[:0]
+        return np.empty(0, np.uint64)
+    # the last word of a block may have room beyond it, 59 places at most in words that hold any bits
+    row = 2 * BLOCK
+    out = np.zeros(-(-n // BLOCK) * row, np.uint64)
     words = np.asarray(words, np.uint64)
     first = np.concatenate([[0], np.cumsum(block_words.astype(np.int64))])
     block = np.repeat(np.arange(len(block_words)), block_words)
@@ -103,7 +112,7 @@ def unpack(words: np.ndarray, block_words: np.ndarray, n: int) -> np.ndarray:
                 i += 1
             i += 1
     before = np.cumsum(count) - count
-    start = BLOCK * block + before - before[first[block]]
+    start = row * block + before - before[first[block]]
     for s in np.unique(kind).tolist():
         k = np.flatnonzero(kind == s)
         if s == -1:
@@ -113,14 +122,16 @@ def unpack(words: np.ndarray, block_words: np.ndarray, n: int) -> np.ndarray:
         if s == 0 or not w:
             continue
         mask = np.uint64((1 << w) - 1)
-        for j in range(m):
-            # the last word of a block may have room beyond it
-            got = k if s == 15 else k[start[k] + j < BLOCK * (block[k] + 1)]
-            out[start[got] + j] = (words[got] >> np.uint64(4 + w * j)) & mask
-    return out[:n]
+        own, at = words[k] >> np.uint64(4), start[k]
+        for _ in range(m):
+            out[at] = own & mask
+            own >>= np.uint64(w)
+            at += 1
+    return out.reshape(-1, row)[:, :BLOCK].reshape(-1)[:n]
 
 
 _WHITE = [chr(c) for c in (*range(9, 14), *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+_ASCII_WHITE = [c for c in _WHITE if c.isascii()]
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -131,6 +142,10 @@ _WORD = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+#: Packs few ids as native unsigned 32-bit integers, by how many they are.
+_PACKED = [struct.Struct(f"={n}I").pack for n in range(32)]
+
+
 def _byte_letters() -> dict[int, str]:
     """The letter that byte-level vocabularies write for each byte: itself if printable, else the next from U+0100 on."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -161,13 +176,14 @@ class UnitEncoder:
         self.limit, self.new, self.old, self.letters = limit, {}, {}, _byte_letters()
 
     def parts(self, text: str) -> list[str]:
-        if "  " in text or any(c in text and (c + " " in text or " " + c in text) for c in _WHITE):
+        white = [c for c in (_ASCII_WHITE if text.isascii() else _WHITE) if c in text]
+        if "  " in text or any(c + " " in text or " " + c in text for c in white):
             return _SAFE.split(text)
         if "\0" in text:
             return _SAFE.split(text)
         cut = text.replace(" ", "\0 ")
         # a line feed between two characters that aren't white space is a part of its own
-        if "\n" in text and "\n\n" not in text and not any(c in text for c in _WHITE if c != "\n"):
+        if white == ["\n"] and "\n\n" not in text:
             cut = cut.replace("\n", "\0\n\0")
         return cut.split("\0")
 
@@ -184,13 +200,14 @@ class UnitEncoder:
             mapped = part.replace(" ", self.letters[32])
         else:
             mapped = part.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+        ids = [t.id for t in self.model.tokenize(mapped)]
+        return _PACKED[len(ids)](*ids) if len(ids) < len(_PACKED) else array("I", ids).tobytes()
 
     def _learn(self, part: str) -> bytes:
         got = self.old.get(part)
         if got is None:
             word = part.rstrip(_MARKS)
-            if not (word.isascii() and word.removeprefix(" ").isalpha()):
+            if not (word.isascii() and (word.isalpha() or word[:1] == " " and word[1:].isalpha())):
                 m = _WORD.fullmatch(part)
                 word = m[1] if m else ""
             if not word:
@@ -289,10 +306,10 @@ def decode(shards: DataFrame, keep_ids: bool = True) -> DataFrame:
             out = [[], [], [], [], []]
             for r in b.to_pylist():
                 ids = unpack(np.frombuffer(r["words"], "<u8"), np.frombuffer(r["block_words"], "<u2"), r["n_ids"])
-                at = 0
+                small, at = ids.astype("<u4"), 0
                 for name, n in zip(r["doc_ids"], r["n_tokens"], strict=True):
                     own = ids[at : at + n]
-                    for x, y in zip(out, (name, r["first"] + r["before"] + at, n, zlib.crc32(own.astype("<u4").tobytes()), own if keep_ids else None), strict=True):
+                    for x, y in zip(out, (name, r["first"] + r["before"] + at, n, zlib.crc32(small[at : at + n]), own if keep_ids else None), strict=True):
                         x.append(y)
                     at += n
             cols = [pa.array(x, pa.int64()) for x in out[:4]] + ([pa.array([x.astype(np.int64) for x in out[4]], pa.list_(pa.int64()))] if keep_ids else [])
