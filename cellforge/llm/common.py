@@ -15,12 +15,21 @@ from pyspark.sql import functions as F
 DOC_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Bytes of a batch that a Python worker gets at a time; a longer row is a batch of its own.
 BATCH_BYTES = 1 << 20
+#: Rows that Spark's Parquet reader holds at a time; of whole texts, its 4,096 grow every JVM's heap by hundreds of MB.
+BATCH_ROWS = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def few_rows(spark: SparkSession) -> None:
+    """Parquet is read in batches of BATCH_ROWS at most, by the session's setting; for steps that read whole texts."""
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    if int(spark.conf.get(name)) > BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a temporary one only where none is set and all tasks run on this machine."""
     conf = spark.sparkContext.getConf()
