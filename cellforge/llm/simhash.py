@@ -141,7 +141,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     fps = common.cut(fingerprints(docs, id_col, text_col, shingle), "fps")
     # a fingerprint is its own class's name here
     classes = common.cut(fps.select("fp", F.col("fp").alias("rep")).distinct(), "classes")
-    found = common.components(links(classes, radius))
+    # written first, so that no task needs two Python workers, which would all stay and grow in later stages
+    edges = common.cut(links(classes, radius), "links")
+    found = common.components(edges)
+    common.drop(edges)
     named = fps.join(found, fps["fp"] == found["node"], "left").select("doc_id", "key", F.coalesce("component", "fp").alias("c"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     best = named.groupBy("c").agg(F.min(order).alias("o")).select(F.col("c").alias("b"), "o.*")

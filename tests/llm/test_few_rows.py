@@ -21,3 +21,18 @@ def test_stages_read_whole_texts_few_rows_at_a_time(spark, tmp_path):
     common.few_rows(spark)
     assert spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == "16"
     spark.conf.unset("spark.sql.parquet.columnarReaderBatchSize")
+
+
+def test_near_copies_ask_for_one_python_worker_a_task(spark, tmp_path, monkeypatch):
+    real, seen = common.components, []
+
+    def components(edges):
+        seen.append(edges._jdf.queryExecution().executedPlan().toString())
+        return real(edges)
+
+    monkeypatch.setattr(common, "components", components)
+    text = "one text about a river and its many stones "
+    docs = spark.createDataFrame([(1, text), (2, text.upper()), (3, text * 3 + "and clouds"), (4, None)], "doc_id long, text string")
+    out = dict(corpus_pipeline.STAGES)["simhash"](spark, docs, "")
+    assert {1, 4} <= {r.doc_id for r in out.collect()} <= {1, 3, 4}
+    assert len(seen) == 1 and "InArrow" not in seen[0]
